@@ -6,10 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, packing, sharding
+from . import byte_bpe, chunking, lines, minhash, packing, secrets, sharding, url_filter
 from .common import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_pair")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash, op8_sharding, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup)}
 
 _SPACED = r"""regexp_replace(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[0-9]+', '0', 'g')"""
 SQL = {
