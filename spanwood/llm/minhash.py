@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blank, components, materialise
@@ -59,20 +59,25 @@ def _class(shingles: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, size: int) -> DataFrame:
-    """(id, n_shingles, cls, keys) of each document; cls null without shingles."""
+    """(id, text_hash, n_shingles, cls, keys) of each document; cls null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, circulant = _worker(bands, rows, size)
         for batch in batches:
             n, cls, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle(text.as_py())
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
                 keys.append(circulant.keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "cls", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "n_shingles", "cls", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), blank(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, cls long, keys array<long>")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("text_hash"), blank(text_col).alias("text"))
+    return plain.mapInArrow(run, "id long, text_hash long, n_shingles long, cls long, keys array<long>")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(blank(text_col))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -112,7 +117,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Link documents whose sets of `size`-word shingles have a Jaccard index of threshold[0]/threshold[1] or more.
 
-    Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept. A document of
+    Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept and text_hash, by
+    which rows of one id are told apart. A document of
     null, empty or blank text has no shingles and no links. Rows of one id each get a row of their own and are linked
     only as their texts are; null ids come last and give way to any other id in their component. Other columns are
     not read.
@@ -156,6 +162,19 @@ def near_duplicates(
     grouped = owners.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = grouped.groupBy("root").agg(F.min("owner").alias("component_id"))
     named = grouped.join(first, "root").select("cls", "component_id")
-    out = sketch.select("id", "n_shingles", "cls").join(named, "cls", "left")
+    out = sketch.select("id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")
     linked = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", linked.alias("component_id"), F.col("id").eqNullSafe(linked).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", linked.alias("component_id"), F.col("id").eqNullSafe(linked).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that near_duplicates keeps, with all their columns: of each component, the one with the smallest id.
+
+    Documents without words are kept, as they are like no other. Of rows with one id and text, one is kept (the one
+    whose other columns hash lowest).
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept")).distinct()
+    keyed = docs.withColumns({"__own": F.col(id_col).cast("long"), "__hash": _text_hash(text_col)})
+    own = keyed.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__own", "__hash").orderBy(F.xxhash64(*docs.columns)))
+    return own.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)

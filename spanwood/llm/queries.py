@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunking, lines, minhash, packing, secrets, sharding, url_filter
+from . import byte_bpe, chunking, embeddings, lines, minhash, packing, secrets, sharding, toxicity, url_filter
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_pair")
 
@@ -27,7 +36,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup)}
 
 _SPACED = r"""regexp_replace(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[0-9]+', '0', 'g')"""
 SQL = {
