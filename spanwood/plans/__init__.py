@@ -1,5 +1,6 @@
 """The registered queries; importing this package registers them."""
 
+from . import relational
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "relational"]

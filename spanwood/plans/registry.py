@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..views import with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, and the SQL that must give the same rows."""
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, and the SQL over tables and views that must give the same rows."""
 
     def put(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"two queries named {name}")
-        QUERIES[name] = f
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
+        QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[f.__name__] = with_views(sql)
         return f
 
     return put
