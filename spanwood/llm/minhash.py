@@ -8,6 +8,7 @@ shingle are one contiguous slice of the table, and a signature is the columnwise
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,35 +82,46 @@ def _text_hash(text_col: str) -> Column:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(cls, shingles binary) of docs(text), one row for each class."""
+    """(cls, shingles array<long>) of docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _worker(1, 1, size)[0]
         for batch in batches:
             found = [s for s in (shingle(t.as_py()) for t in batch.column(0)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls long, shingles binary")
+    return docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
 
 
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, threshold: tuple[int, int], size: int) -> DataFrame:
-    """The pairs (a, b: classes) whose full shingle sets are similar enough. owners: (cls, owner id)."""
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = need.join(owners, "cls").select(F.col("owner").alias("__id")).distinct()
-    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = materialise(_sets(texts, size).join(need, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("s")))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumns({"na": F.octet_length("sa") / 8, "nb": F.octet_length("sb") / 8}).filter(F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0])
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b: classes) whose full shingle sets are similar enough."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.withColumns({"na": F.size("sa"), "nb": F.size("sb")}).filter(F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0])
     both = both.withColumn("c", F.pandas_udf(_common, "long")("sa", "sb"))
     return both.filter(F.col("c") * threshold[1] >= (F.col("na") + F.col("nb") - F.col("c")) * threshold[0]).select("a", "b")
 
 
-#: Buckets up to this size give all pairs of differing components at once; larger ones are compared star by star.
-SMALL = 12
+def _prefixes(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, cls, n, at, most) for the shingles, rarest first, that two similar sets must share one of.
+
+    With t the threshold, sets of sizes n and m that are similar share at least t/(1+t) * (n + m). A set whose first
+    shared shingle is its `at`-th (from 0) shares n - at at most, so it can only be similar to sets of at most `most`
+    shingles, and only for at up to (1 - t) * n.
+    """
+    num, den = threshold
+    rows = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    # shingles of one set alone need no join: they come first and share nothing
+    shared = rows.join(counted.filter("df > 1"), "key")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "key")) - 1
+    own = Window.partitionBy("cls")
+    placed = shared.withColumn("at", place + F.col("n") - F.count(F.lit(1)).over(own))
+    placed = placed.withColumn("most", F.floor((F.col("n") - F.col("at")) * (num + den) / num + 1e-6) - F.col("n"))
+    return placed.filter(F.col("at") * den <= F.col("n") * (den - num)).select("key", "cls", "n", "at", "most")
 
 
 def near_duplicates(
@@ -124,41 +136,39 @@ def near_duplicates(
     not read.
 
     Documents of equal sets are one class from the start. Band buckets first link each class to the bucket's smallest
-    one, so that a bucket gives no more pairs than it has classes. Buckets that the verified links leave in more than
-    one component are gone through again: small ones with all pairs across components, larger ones with another
-    centre each round, until none is left; links inside a component can change nothing. So every candidate pair is
-    verified or already connected. 32 bands of 6 miss a pair of similarity 0.85 with a chance under 1 in 3 million.
+    one, so that a bucket gives no more pairs than it has classes. Classes of buckets that this leaves in more than one
+    component are filed anew, by prefixes of their sets (rarest shingles first), which no similar pair can miss. There,
+    each bucket's centre is the class that its shingle comes first in, the least changed of a group of copies, and all
+    others are compared with it. Pairs that are then still apart are compared if the bounds on their sizes and on their
+    places in the bucket allow a link. So every candidate pair is verified, excluded by a bound, or connected already. 32 bands of 6 miss a pair of similarity 0.85 with a chance under 1 in 3
+    million.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), blank(text_col).alias("text"))
     sketch = materialise(_sketch(docs, id_col, text_col, bands, rows, size))
-    classes = sketch.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("owner"), F.first("keys").alias("keys"))
-    owners = sketch.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("owner"))
-    filed = classes.select("cls", "owner", F.explode("keys").alias("key"))
+    some = sketch.filter("cls is not null")
+    owners = some.groupBy("cls").agg(F.min("id").alias("owner"))
+    # keys are a function of the class: any row's will do
+    filed = some.select("cls", "id", F.explode("keys").alias("key")).groupBy("key", "cls").agg(F.min("id").alias("owner"))
     # null owners (null ids) come last
-    rank = F.struct(F.coalesce(F.col("owner"), F.lit(2**63 - 1)).alias("o"), F.col("cls").alias("c"))
-    centre = filed.groupBy("key").agg(F.min(rank)["c"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    filed = materialise(filed.select("key", "cls").join(centre, "key"))
-    fresh = filed.filter("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-    tried = pairs = materialise(fresh)
-    links, comp = pairs.limit(0), pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    # a centre has been compared with its whole bucket
-    members, turn = filed.filter("cls <> b").select("key", "cls"), 0
-    while True:
-        if not pairs.isEmpty():
-            links = links.unionByName(materialise(_verified(pairs, plain, owners, threshold, size)))
-            comp = components(links)
-        labelled = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        pick = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("c"), F.col("root").alias("r"))).alias("pick")
-        split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), pick).filter("lo <> hi")
-        left = materialise(labelled.join(split.select("key", "m", F.col("pick.c").alias("pick"), F.col("pick.r").alias("pick_root")), "key"))
-        if left.isEmpty():
-            break
-        few, many = left.filter(F.col("m") <= SMALL).select("key", "cls", "root"), left.filter(F.col("m") > SMALL)
-        across = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))).filter("x.root <> y.root")
-        star = many.filter("root <> pick_root").select(F.least("cls", "pick").alias("a"), F.greatest("cls", "pick").alias("b"))
-        fresh = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).unionByName(star).distinct()
-        pairs = materialise(fresh.join(tried, ["a", "b"], "left_anti"))
-        tried, members, turn = tried.unionByName(pairs), many.filter("cls <> pick").select("key", "cls"), turn + 1
+    rank = F.struct(F.coalesce("owner", F.lit(2**63 - 1)).alias("o"), F.col("cls").alias("c"))
+    centre = filed.groupBy("key").agg(F.min(rank)["c"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
+    filed = materialise(filed.join(centre, "key"))
+    ids = filed.groupBy("cls").agg(F.min("owner").alias("__id"))
+    texts = plain.join(ids.select("__id").distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = materialise(_sets(texts, size).join(ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    pairs = filed.filter("cls <> b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    links = materialise(_verified(pairs, sets, threshold))
+    comp = components(links)
+    labelled = _labelled(filed.select("key", "cls"), comp)
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    rest = labelled.join(split, "key", "left_semi").select("cls").distinct()
+    members = materialise(_prefixes(sets.join(rest, "cls", "left_semi"), threshold))
+    for step in (_to_centres, _across):
+        pairs = step(_labelled(members, comp), threshold)
+        found = materialise(_verified(pairs.distinct(), sets, threshold))
+        if not found.isEmpty():
+            # roots are classes too: the forest so far stands for the links that made it
+            comp = components(found.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = owners.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = grouped.groupBy("root").agg(F.min("owner").alias("component_id"))
     named = grouped.join(first, "root").select("cls", "component_id")
@@ -178,3 +188,41 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     own = keyed.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("__own", "__hash").orderBy(F.xxhash64(*docs.columns)))
     return own.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+
+
+def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _split(labelled: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, without sets for which no other of the bucket is small or large enough."""
+    ends = labelled.groupBy("key").agg(F.min("n").alias("__least"), F.max("most").alias("__most"), F.min("root").alias("__lo"), F.max("root").alias("__hi"))
+    near = labelled.join(ends.filter("__lo <> __hi"), "key").filter("most >= __least AND n <= __most")
+    return near.drop("__least", "__most", "__lo", "__hi")
+
+
+def _to_centres(labelled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of each bucket's sets with its centre, the set that the bucket's shingle comes first in."""
+    near = _split(labelled)
+    pick = near.groupBy("key").agg(F.min(F.struct("at", "cls", "root", "n", "most")).alias("pick"))
+    star = near.join(pick, "key").filter("root <> pick.root AND n <= pick.most AND pick.n <= most")
+    return star.select(F.least("cls", "pick.cls").alias("a"), F.greatest("cls", "pick.cls").alias("b"))
+
+
+#: Sizes of sets fall into classes of this ratio.
+STEP = 1.02
+
+
+def _across(labelled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs across components of a bucket that the bounds allow.
+
+    The larger set of a pair looks for the classes of sizes that it can be similar to, so that sets which are too
+    large for their place meet no one of their own size.
+    """
+    near, low = _split(labelled), threshold[0] / threshold[1]
+    of = lambda n: F.floor(F.log(n) / math.log(STEP)).cast("int")
+    small = near.select("key", of(F.col("n")).alias("step"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("most").alias("a_most"), F.col("root").alias("a_root"))
+    largest = F.least("n", "most")
+    large = near.withColumn("low", F.least(F.col("n") * low, largest)).filter(largest > 0).withColumn("step", F.explode(F.sequence(of(F.greatest(F.ceil("low"), F.lit(1))), of(largest)))).select("key", "step", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("most").alias("b_most"), F.col("root").alias("b_root"))
+    hit = small.join(large, ["key", "step"]).filter("an <= bn AND a <> b AND a_root <> b_root AND an <= b_most AND bn <= a_most")
+    return hit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
