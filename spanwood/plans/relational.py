@@ -379,7 +379,7 @@ def ag13_sessions(spark: Spark, d: str) -> DataFrame:
     return A.sessions(chat.select(F.col("conv_id").alias("session"), "turn", F.when(F.col("role") != "user", F.col("role")).alias("agent")))
 
 
-@query("""SELECT id, 0.5 * callers impact, round(0.3 * complexity + 0.7 * (0.5 * callers), 8) risk, CASE WHEN 0.3 * complexity + 0.35 * callers >= 5 THEN 'high' WHEN 0.3 * complexity + 0.35 * callers >= 2 THEN 'medium' ELSE 'low' END bucket
+@query("""SELECT id, (0.5 * callers)::DOUBLE impact, round((0.3 * complexity + 0.7 * (0.5 * callers))::DOUBLE, 8) risk, CASE WHEN 0.3::DOUBLE * complexity + 0.7::DOUBLE * (0.5::DOUBLE * callers) >= 5 THEN 'high' WHEN 0.3::DOUBLE * complexity + 0.7::DOUBLE * (0.5::DOUBLE * callers) >= 2 THEN 'medium' ELSE 'low' END bucket
   FROM (SELECT id, (SELECT count(*) FROM g_edges WHERE kind = 'calls' AND target_id = id) callers, coalesce(nullif((SELECT count(*) FROM g_dense WHERE source_id = id), 0), 1) complexity FROM g_nodes)""")
 def ag14_triage(spark: Spark, d: str) -> DataFrame:
     c = V.dense_edges(spark, d).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("complexity"))
