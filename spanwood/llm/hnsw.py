@@ -225,7 +225,8 @@ class Graph:
         # a little under the bound: searches are in single precision
         reach = np.cos(np.minimum(np.pi, self.angle + self.radius)) - 1e-5
         todo, width = np.arange(len(raw)), min(self.beam, n_nodes)
-        sums = np.add.reduceat(weight[self.order], self.starts[:-1].clip(max=len(weight) - 1)) * (self.starts[1:] > self.starts[:-1])
+        # a closing zero keeps the last bundle whole where places without members follow it
+        sums = np.add.reduceat(np.append(weight[self.order], 0), self.starts[:-1]) * (self.starts[1:] > self.starts[:-1])
         while len(todo):
             ids, sims = self.nearest(fast[todo], width)
             within = (ids >= 0) & (sims >= reach[ids])
