@@ -102,12 +102,12 @@ def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """(id, rank): equal start, mass of nodes without a way out spread evenly, parallel edges counted; ranks add up to 1."""
     ids = cut(_ids(nodes))
-    n = ids.count()
+    n = max(ids.count(), 1)
     ends = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     ends = ends.join(ids.select(F.col("node").alias("src")), "src", "left_semi").join(ids.select(F.col("node").alias("dst")), "dst", "left_semi")
     outs = ends.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
     ways = cut(ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(outs, "src").select("src", "dst", (F.col("w") / F.col("outs")).alias("share")))
-    ranks = cut(ids.join(outs.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    ranks = cut(ids.join(outs.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"), F.lit(1.0 / n).alias("rank")))
     for _ in range(rounds):
         loose = ranks.filter("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         came = ways.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))

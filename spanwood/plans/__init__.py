@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them."""
 
-from . import graph, relational
+from . import graph, relational, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph", "relational"]
+__all__ = ["QUERIES", "SQL", "graph", "relational", "retrieval"]
