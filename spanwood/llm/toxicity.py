@@ -30,7 +30,7 @@ STEPS, EPOCHS, MINIBATCH, RATE = 400, 3, 48, 0.15
 #: Every so manyth training row is kept back to calibrate thresholds; fewer toxic rows of a language share one.
 KEPT_BACK, LEAST_TOXIC = 5, 15
 #: The score that a text at its language's threshold gets, and words whose filters a worker remembers.
-CUT, MEMO = 0.3, 250_000
+CUT, MEMO = 0.3, 80_000
 
 #: Fixed lists: frequent function words of each language.
 FUNCTION_WORDS = {
