@@ -12,7 +12,7 @@ from .hnsw import Graph
 
 #: Most vectors of a shard, fewest shards, and vectors of a block of queries.
 SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 20_000, 4, 8_192
-#: Share of an audit's turned copies that a shard's beam must find.
+#: Share of an audit's queries all of whose links a shard's search must find.
 RECALL = 0.999
 
 

@@ -198,46 +198,64 @@ class Graph:
         return self._search(unit, entry, 0, width)
 
     def audit(self, recall: float, sample: int = 256, seed: int = 5) -> float:
-        """Widen the beam until, of `sample` nodes turned away to just the link angle, this share is found; the share."""
-        nodes = np.flatnonzero(self.bundle == np.arange(len(self.raw)))
+        """Widen the beam until, of sampled queries, this share meets every node that brute force links it with; the share.
+
+        Queries are `sample` rows, as many members of bundles, and both turned away to just within the link angle.
+        """
         rng = np.random.default_rng(seed)
-        chosen = rng.choice(nodes, min(sample, len(nodes)), replace=False)
+        members = np.flatnonzero(self.bundle != np.arange(len(self.raw)))
+        chosen = np.concatenate([rng.choice(own, min(sample, len(own)), replace=False) for own in (np.arange(len(self.raw)), members) if len(own)])
         unit = self.unit[chosen]
         away = rng.normal(size=unit.shape).astype(np.float32)
         away -= np.einsum("ij,ij->i", away, unit)[:, None] * unit
         away /= np.maximum(np.sqrt(np.einsum("ij,ij->i", away, away)), 1e-30)[:, None]
-        turned = unit * np.float32(np.cos(self.angle)) + away * np.float32(np.sin(self.angle))
+        angle = self.angle * 0.999
+        asked = np.vstack([unit, unit * np.float32(np.cos(angle)) + away * np.float32(np.sin(angle))])
+        wanted = [np.unique(self.bundle[near]) for a in range(0, len(asked), BESIDE) for near in asked[a : a + BESIDE] @ self.unit.T >= np.cos(self.angle)]
+        nodes = np.flatnonzero(self.bundle == np.arange(len(self.raw)))
         while True:
-            share = float((self.nearest(turned, min(self.beam, len(nodes)))[0] == chosen[:, None]).any(axis=1).mean())
+            met = self._met(asked, nodes)
+            share = float(np.mean([np.isin(w, m).all() for w, m in zip(wanted, met, strict=True)]))
             if share >= recall or self.beam >= len(nodes):
                 return share
             self.beam = int(self.beam * 1.5)
 
+    def _met(self, unit: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+        """For each row of unit: the nodes within whose reach it is, the link angle and the node's own radius.
+
+        A beam whose last node is no farther than the widest reach may hide nodes behind it, whatever its own reach: such
+        rows are compared with all nodes, as are all rows where the beam would hold them all.
+        """
+        # a little under the bound: searches are in single precision
+        reach = (np.cos(np.minimum(np.pi, self.angle + self.radius)) - 1e-5).astype(np.float32)
+        out: list = [None] * len(unit)
+        todo = np.arange(len(unit))
+        if self.beam < len(nodes):
+            ids, sims = self.nearest(unit, self.beam)
+            within = (ids >= 0) & (sims >= reach[ids])
+            full = (ids[:, -1] < 0) | (sims[:, -1] >= reach[nodes].min())
+            for i in np.flatnonzero(~full):
+                out[i] = ids[i][within[i]]
+            todo = np.flatnonzero(full)
+        vectors, least = self.unit[nodes], reach[nodes]
+        for a in range(0, len(todo), BESIDE):
+            for i, near in zip(todo[a : a + BESIDE], unit[todo[a : a + BESIDE]] @ vectors.T >= least, strict=True):
+                out[i] = nodes[near]
+        return out
+
     def linked(self, raw: np.ndarray, weight: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each row of raw: the nodes in whose bundles it has links, and the weight of the rows it links with there.
 
-        own: the row's own place in this graph, or -1. The beam is doubled for rows whose whole beam is within reach.
+        own: the row's own place in this graph, or -1.
         """
         unit = self._unit(raw)
-        fast = unit.astype(np.float32)
-        n_nodes = int((self.bundle == np.arange(len(self.raw))).sum())
-        out: list = [None] * len(raw)
-        # a little under the bound: searches are in single precision
-        reach = np.cos(np.minimum(np.pi, self.angle + self.radius)) - 1e-5
-        todo, width = np.arange(len(raw)), min(self.beam, n_nodes)
+        out = []
         # a closing zero keeps the last bundle whole where places without members follow it
         sums = np.add.reduceat(np.append(weight[self.order], 0), self.starts[:-1]) * (self.starts[1:] > self.starts[:-1])
-        while len(todo):
-            ids, sims = self.nearest(fast[todo], width)
-            within = (ids >= 0) & (sims >= reach[ids])
-            full = within[:, -1] & (width < n_nodes)
-            for i in np.flatnonzero(~full):
-                q = todo[i]
-                nodes = ids[i][within[i]]
-                if own[q] >= 0:
-                    nodes = np.union1d(nodes, [self.bundle[own[q]]])
-                out[q] = self._counted(unit[q], nodes, weight, sums, own[q])
-            todo, width = todo[full], min(2 * width, n_nodes)
+        for q, nodes in enumerate(self._met(unit.astype(np.float32), np.flatnonzero(self.bundle == np.arange(len(self.raw))))):
+            if own[q] >= 0:
+                nodes = np.union1d(nodes, [self.bundle[own[q]]])
+            out.append(self._counted(unit[q], nodes, weight, sums, own[q]))
         return out
 
     def _counted(self, q: np.ndarray, nodes: np.ndarray, weight: np.ndarray, sums: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("spanwood.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from spanwood.llm import byte_bpe, chunking, embeddings, lines, minhash, packing, secrets, sharding, toxicity, url_filter, word_bpe  # noqa: E402
+from spanwood.llm import byte_bpe, chunking, embeddings, hnsw, lines, minhash, packing, secrets, sharding, toxicity, url_filter, word_bpe  # noqa: E402
 from spanwood.llm.shingles import words  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,28 @@ def test_embeddings_against_brute_force(spark):
     assert [got[i]["n_links"] for i in ids] == near.sum(axis=1).tolist()
 
 
+def test_dense_shard_with_wide_bundles():
+    rng = np.random.default_rng(1)
+
+    def turned(unit, cos):
+        away = rng.normal(size=unit.shape)
+        away -= np.einsum("ij,ij->i", away, unit)[:, None] * unit
+        away /= np.linalg.norm(away, axis=1)[:, None]
+        return unit * cos + away * np.sqrt(1 - cos**2)
+
+    middle = np.eye(24)[:1]
+    single = turned(np.repeat(middle, 2000, 0), np.full((2000, 1), 0.93))
+    heads = turned(np.repeat(middle, 60, 0), np.full((60, 1), 0.9))
+    members = turned(np.repeat(heads, 25, 0), rng.uniform(0.976, 0.99, (1500, 1)))
+    raw = np.vstack([heads, single, members]).astype(np.float32)
+    graph = hnsw.Graph(raw, 0.9)
+    assert graph.audit(embeddings.RECALL) >= embeddings.RECALL
+    unit = raw.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    got = graph.linked(raw, np.ones(len(raw), np.int64), np.arange(len(raw)))
+    assert [int(n.sum()) for _, n in got] == (unit @ unit.T >= 0.9).sum(axis=1).tolist()
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0, 0.1]), (8, [1.0, 0.1]), (9, [2.0, 0.2]), (10, [1e30, 1e29]), (11, [1.0, 0.1, 0.0]), (12, [-1.0, -0.1])]
