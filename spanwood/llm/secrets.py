@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -35,12 +37,17 @@ PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example|placeholder|your|none|null|t
 THRESHOLD = 0.5
 
 _PART = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_OPERAND = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9_$][A-Za-z0-9+/_.=$-]*+)"""
-#: name, an assignment or a colon, then operands joined by + (as in source, JSON, YAML, INI and shell).
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["'\]]{{0,2}}[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+({_OPERAND}(?:[\x20\t]*+\+[\x20\t]*+{_OPERAND})*+)""")
+# an unquoted operand holds = (padding of base 64) but not the one before a quoted literal
+_OPERAND = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9_$](?:[A-Za-z0-9+/_.$-]|=(?!["']))*+)"""
+_TARGET = r"""[A-Za-z_][A-Za-z0-9_.-]*+["'\]]{0,2}[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
+#: targets, each with an assignment or a colon, then operands joined by + (as in source, JSON, YAML, INI and shell).
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])({_TARGET}(?:["']?{_TARGET}(?=[A-Za-z0-9_$"']))*+)({_OPERAND}(?:[\x20\t]*+\+[\x20\t]*+{_OPERAND})*+)""")
+TARGET = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.-]*+)(?=["'\]]{{0,2}}[\x20\t]*+[:=])""")
 OPERAND = re.compile(_OPERAND)
-#: A constant carries at most so many literals; longer concatenations are data, not secrets.
-MOST_PARTS = 64
+#: An unquoted operand that is an assignment of its own.
+INNER = re.compile("([A-Za-z_][A-Za-z0-9_.-]*+)=(?!=)(.+)")
+#: Joined values are scored by so many leading characters.
+HEAD = 257
 
 
 def _name_score(name: str) -> float:
@@ -51,34 +58,128 @@ def _name_score(name: str) -> float:
     return 0.0 if HARMLESS & set(parts) else min(1.0, score)
 
 
-def _literal_score(text: str) -> float:
+def _literal_score(text: str, plain: float = 0.45) -> float:
+    """plain: the most that a literal without both letters and digits gets."""
     if len(text) < 8 or PLACEHOLDER.match(text) or " " in text:
         return 0.0
     n = len(text)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(text[:256]).values()) if n <= 256 else 4.0
     mixed = any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
-    return min(1.0, bits / 3.0) * (1.0 if mixed else 0.45)
+    return min(1.0, bits / 3.0) * (1.0 if mixed else plain)
+
+
+def _passes(weight: float, text: str, plain: bool = True) -> bool:
+    return weight * _literal_score(text, 0.6 if plain and weight >= 1 else 0.45) >= THRESHOLD
+
+
+@dataclass
+class _Assigned:
+    names: list[str]
+    #: Literals as spans, and the numbers of assignments whose values come in, in order.
+    parts: list[tuple[int, int] | int]
+    #: Unquoted operands that may be values or names, and whether letters alone can be one.
+    bare: list[tuple[int, int, bool]]
+    head: str | None = None
+
+
+def _assignments(text: str) -> list[_Assigned]:
+    """All assignments in order of the text; a name stands for its last value before, or else for its first one after."""
+    found, operands = [], []
+    for m in PAIR.finditer(text):
+        own = [(o[0], o.start(), o.end()) for o in OPERAND.finditer(text, m.start(2), m.end(2))]
+        found.append([t[1] for t in TARGET.finditer(text, m.start(1), m.end(1))])
+        operands.append(own)
+        for raw, start, end in own:
+            if raw[0] not in "\"'" and (inner := INNER.fullmatch(raw)):
+                found.append([inner[1]])
+                operands.append([(inner[2], start + inner.start(2), end)])
+    defined: dict[str, list[int]] = {}
+    for i, names in enumerate(found):
+        for name in {n for full in names for n in (full, full.rpartition(".")[2])}:
+            defined.setdefault(name, []).append(i)
+    out = []
+    for i, own in enumerate(operands):
+        one = _Assigned(found[i], [], [])
+        for raw, start, end in own:
+            if raw[0] in "\"'":
+                one.parts.append((start + 1, end - 1))
+                continue
+            places = defined.get(raw, [])
+            k = bisect_left(places, i)
+            if k:
+                one.parts.append(places[k - 1])
+                continue
+            later = places[k + 1] if k + 1 < len(places) and places[k] == i else places[k] if k < len(places) and places[k] != i else None
+            if later is not None:
+                one.parts.append(later)
+            elif len(own) == 1:
+                one.parts.append((start, end))
+            one.bare.append((start, end, len(own) == 1 and text[end : end + 1] not in ("(", "[", "{", ".")))
+        out.append(one)
+    return out
+
+
+def _fill_heads(text: str, found: list[_Assigned]) -> None:
+    """The first HEAD characters of each joined value; a value that comes back to itself adds nothing there."""
+    entered = [False] * len(found)
+    for first in range(len(found)):
+        stack = [first]
+        while stack:
+            i = stack[-1]
+            if found[i].head is not None:
+                stack.pop()
+                continue
+            below = [] if entered[i] else [p for p in found[i].parts if isinstance(p, int) and not entered[p]]
+            entered[i] = True
+            if below:
+                stack += below
+                continue
+            head = ""
+            for p in found[i].parts:
+                head += (found[p].head or "") if isinstance(p, int) else text[p[0] : min(p[1], p[0] + HEAD)]
+                if len(head) >= HEAD:
+                    break
+            found[i].head = head[:HEAD]
+            stack.pop()
 
 
 def pairs(text: str) -> list[tuple[int, int]]:
-    """Spans of literals whose value reaches a sensitive name, directly or through constants, in order of the text."""
+    """Spans of literals whose value reaches a sensitive name, directly or through constants, in order of the text.
+
+    A value is what its operands make when joined; if it passes, all its parts are secrets. Parts that pass by
+    themselves are secrets too.
+    """
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    found = _assignments(text)
+    weights = [max(map(_name_score, one.names), default=0.0) for one in found]
+    if not any(weights):
+        return []
+    _fill_heads(text, found)
     out: set[tuple[int, int]] = set()
-    for m in PAIR.finditer(text):
-        literals: list[tuple[int, int]] = []
-        for o in OPERAND.finditer(text, m.start(2), m.end(2)):
-            raw = o[0]
-            if raw[0] in "\"'":
-                literals.append((o.start() + 1, o.end() - 1))
-            else:
-                literals += constants.get(raw) or [(o.start(), o.end())]
-        name = m[1]
-        if len(literals) <= MOST_PARTS:
-            constants[name] = constants[name.rpartition(".")[2]] = literals
-        if weight := _name_score(name):
-            out.update((a, b) for a, b in literals if weight * _literal_score(text[a:b]) >= THRESHOLD)
+    seen: set[tuple[int, float]] = set()
+    whole: set[int] = set()
+    for first, weight in enumerate(weights):
+        # no part is reached twice at one weight, so that long chains of constants stay linear
+        stack = [(first, False)] if weight else []
+        while stack:
+            i, taken = stack.pop()
+            one = found[i]
+            if not taken:
+                if (i, weight) in seen:
+                    continue
+                seen.add((i, weight))
+                out.update((a, b) for a, b, alone in one.bare if _passes(weight, text[a:b], alone))
+                single = {(a, b): alone for a, b, alone in one.bare}
+                taken = not (len(one.parts) == 1 and one.parts[0] in single and not single[one.parts[0]]) and _passes(weight, one.head)
+                if not taken:
+                    out.update(p for p in one.parts if not isinstance(p, int) and p not in single and _passes(weight, text[p[0] : p[1]]))
+            if taken:
+                if i in whole:
+                    continue
+                whole.add(i)
+                out.update(p for p in one.parts if not isinstance(p, int) and p[0] < p[1])
+            stack += [(p, taken) for p in one.parts if isinstance(p, int)]
     return sorted(out)
 
 

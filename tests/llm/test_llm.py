@@ -162,6 +162,31 @@ def test_secrets_follow_constants():
     assert "zX81pQ77mmLw02" not in secrets.masked(text) and secrets.masked(None) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ('password = "Zx81" + "pQ77" + "mmLw"', ["Zx81", "pQ77", "mmLw"]),
+        ('K = "Zx81" + "pQ77" + "mmLw"\npassword = K', ["Zx81", "pQ77", "mmLw"]),
+        ("K = " + " + ".join(f'"q{i}Z"' for i in range(100)) + "\napi_key_pwd = K", [f"q{i}Z" for i in range(100)]),
+        ('passphrase = "correcthorsebatterystaple"', ["correcthorsebatterystaple"]),
+        ('config: db_pwd="Zx81pQ77mmLw02"', ["Zx81pQ77mmLw02"]),
+        ("config: db_pwd=Zx81pQ77mmLw02", ["Zx81pQ77mmLw02"]),
+        ('x = db_pwd = "Zx81pQ77mmLw02"', ["Zx81pQ77mmLw02"]),
+        ('db_pwd = K + L\nK = "Zx81pQ77"\nL = M\nM = "mmLw02aB"', ["Zx81pQ77", "mmLw02aB"]),
+        ('db_pwd: str = "Zx81pQ77mmLw02"', ["Zx81pQ77mmLw02"]),
+    ],
+)
+def test_secrets_in_parts(text, parts):
+    assert {text[a:b] for a, b in secrets.pairs(text)} == set(parts)
+    assert not any(p in secrets.masked(text) for p in parts)
+
+
+def test_secrets_of_long_chains():
+    text = 's = "Zx81pQ77"\n' + 's = s + s + "a1b2"\n' * 20_000 + "db_pwd = s\na = b\nb = a\npassword = a\n"
+    assert len(secrets.pairs(text)) >= 20_001
+    assert secrets.pairs('colour = "Zx81" + "pQ77mmLw"\nx = y = "Zx81pQ77mmLw"') == []
+
+
 def test_byte_bpe_is_the_library_and_round_trips(docs, odd):
     import base64
 
