@@ -23,12 +23,12 @@ from .common import blank
 #: Rows of each hashed table, size of an embedding, filters of each width, widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 PARTS = sum(WIDTHS)
-#: At most so many labelled rows of each class train the model, of texts of at most so many characters.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1_500, 2_500, 20_000
-#: Least steps and epochs of training, most rows of a step, step size.
-STEPS, EPOCHS, MINIBATCH, RATE = 400, 3, 48, 0.15
-#: Every so manyth training row is kept back to calibrate thresholds; fewer toxic rows of a language share one.
-KEPT_BACK, LEAST_TOXIC = 5, 15
+#: At most so many labelled rows of each class train the model.
+TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 2_500
+#: Least steps and epochs of training, most rows of a step, most words of a step of several texts, step size.
+STEPS, EPOCHS, MINIBATCH, STEP_WORDS, RATE = 400, 3, 48, 60_000, 0.15
+#: Bins of a logit's unit and the largest logit told apart; all languages' rows weigh in a language as so many toxic ones.
+BINS, FAR, SHARED_TOXIC = 50, 40, 5.0
 #: The score that a text at its language's threshold gets, and words whose filters a worker remembers.
 CUT, MEMO = 0.3, 80_000
 
@@ -134,39 +134,25 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Model | None:
     rng = np.random.default_rng(seed)
     words = Words()
     docs = [np.array(words(t), np.int64) for t in texts]
-    rows, marks = np.array(words.rows), np.array(words.marks)
+    rows = np.array(words.rows)
     rows[0] = 0
-    back = np.zeros(len(y), bool)
-    for c in (0, 1):
-        own = np.flatnonzero(y == c)
-        back[own[:: KEPT_BACK if len(own) >= 2 * KEPT_BACK else len(own) + 1]] = len(own) >= 2 * KEPT_BACK
     m = Model(rng.normal(0, 0.05, (3 * BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, PARTS * FILTERS)).astype(np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0, {"": 0.0}, 1.0)
     sums = [np.full(x.shape, 1e-3, np.float32) for x in (m.embed, m.conv, m.bias, m.out, np.zeros(1))]
     gap = np.zeros(max(WIDTHS) - 1, np.int64)
-    learn = np.flatnonzero(~back)
+    learn = np.arange(len(y))
     size = max(8, min(MINIBATCH, len(learn) // 8))
     for _ in range(max(EPOCHS, -(-STEPS * size // len(learn)))):
         order = rng.permutation(learn)
         for a in range(0, len(order), size):
-            _step(m, sums, [docs[i] for i in order[a : a + size]], y[order[a : a + size]], rows, gap)
-    check = np.flatnonzero(back) if back.any() else learn
-    logits = np.array([m.logit(_added(m, rows, docs[i])) for i in check])
-    langs = np.array([language_of(marks[docs[i]]) for i in check])
-    m.thresholds[""] = _threshold(logits, y[check])
-    for lang in LANGUAGES[:-1]:
-        own = langs == lang
-        if y[check][own].sum() >= LEAST_TOXIC:
-            m.thresholds[lang] = _threshold(logits[own], y[check][own])
+            own = order[a : a + size]
+            # long texts make steps of their own, so that memory stays bounded
+            cuts = np.cumsum([len(docs[i]) for i in own]) // STEP_WORDS
+            for part in np.split(own, np.flatnonzero(np.diff(cuts)) + 1):
+                _step(m, sums, [docs[i] for i in part], y[part], rows, gap)
     m.embed = m.embed.astype(np.float16)
     return m
 
 
-def _added(m: Model, rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    out = m.vectors(rows[doc])
-    out[doc == 0] = 0
-    return out
-
-
 def _step(m: Model, sums: list, docs: list, y: np.ndarray, rows: np.ndarray, gap: np.ndarray) -> None:
     """One step of Adagrad on the logistic loss of a minibatch."""
     flat = np.concatenate([np.concatenate([d, gap]) for d in docs])
@@ -212,15 +198,33 @@ def _step(m: Model, sums: list, docs: list, y: np.ndarray, rows: np.ndarray, gap
     m.out_bias -= float(RATE / 3 * d.sum() / np.sqrt(sums[4][0]))
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the range of cuts with the best F1."""
-    if not y.sum() or y.all():
-        return float(logits.max() + 1 if not y.sum() else logits.min() - 1) if len(logits) else 0.0
-    cuts = np.unique(logits)
-    edges = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2])
-    right = np.array([(y[logits >= c]).sum() for c in edges])
-    f1 = 2 * right / (y.sum() + np.array([(logits >= c).sum() for c in edges]))
-    return float(np.median(edges[f1 == f1.max()]))
+def thresholds(bins: list[tuple[str, int, int, int]]) -> dict[str, float]:
+    """The threshold of each language and of all ('') from rows (language, label, bin of the logit, count).
+
+    All rows weigh in each language as SHARED_TOXIC toxic ones do, so that few rows of its own move a threshold little
+    and many move it wholly, without a size at which it switches.
+    """
+    counts = {lang: np.zeros((2, 2 * FAR * BINS + 1)) for lang in LANGUAGES}
+    shared = np.zeros((2, 2 * FAR * BINS + 1))
+    for lang, y, k, n in bins:
+        counts[lang][y, k + FAR * BINS] += n
+        shared[y, k + FAR * BINS] += n
+    prior = shared * (SHARED_TOXIC / max(shared[1].sum(), 1.0))
+    return {lang: _threshold(own + prior) for lang, own in counts.items() if lang} | {"": _threshold(shared)}
+
+
+def _threshold(counts: np.ndarray) -> float:
+    """The middle of the range of cuts with the best F1, of counts of clean and toxic rows by bin."""
+    at = np.flatnonzero(counts.sum(axis=0))
+    if not len(at):
+        return 0.0
+    logits, clean, toxic = (at - FAR * BINS) / BINS, counts[0, at], counts[1, at]
+    if not toxic.sum() or not clean.sum():
+        return float(logits.max() + 1 if not toxic.sum() else logits.min() - 1)
+    edges = np.concatenate([[logits[0] - 1], (logits[1:] + logits[:-1]) / 2])
+    right, said = (np.cumsum(x[::-1])[::-1] for x in (toxic, clean + toxic))
+    f1 = 2 * right / (toxic.sum() + said)
+    return float(np.median(edges[f1 >= f1.max() - 1e-12]))
 
 
 class Scorer:
@@ -237,13 +241,17 @@ class Scorer:
         self.filled = 1
 
     def __call__(self, text: str) -> float:
+        return self.model.score(*self.judged(text))
+
+    def judged(self, text: str) -> tuple[float, str]:
+        """The logit and the language of a text."""
         if len(self.words.number) >= MEMO:
             self._forget()
         ids = np.array(self.words(text), np.int64)
         known = len(self.words.rows)
         if known > self.filled:
             self._fill(known)
-        return self.model.score(self.model.logit(self.added[ids]) if len(ids) else -np.inf, language_of(self.marks[ids]))
+        return self.model.logit(self.added[ids]) if len(ids) else -np.inf, language_of(self.marks[ids])
 
     def _fill(self, known: int) -> None:
         if known > len(self.added):
@@ -261,9 +269,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Train on a bounded sample of the labelled rows that are not held out: the smallest hashes of each class.
+    """Train on a bounded sample of the labelled rows that are not held out, then set thresholds on all of these rows.
 
-    The sample is at most TRAIN_TOXIC + TRAIN_CLEAN rows (its ids are broadcast, its texts come to the driver). Rows
+    The sample is the smallest hashes of each class, some TRAIN_TOXIC + TRAIN_CLEAN rows of any length (its ids are
+    broadcast, its texts come to the driver). Thresholds come from counts of binned logits by language and label. Rows
     with null ids, labels or texts do not train; an id that is labelled twice counts by its larger label.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -272,9 +281,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keep = F.lit(False)
     for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         keep |= (F.col("__y") == y) & (F.col("__h") < int((1 << 20) * min(1.0, most / max(1, sizes.get(y, 0)))))
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text").between(1, TRAIN_CHARS)).join(F.broadcast(known.filter(keep)), "__id")
+    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text") > 0).join(F.broadcast(known.filter(keep)), "__id")
     rows = sorted((r["__h"], r["__id"], r["__text"], r["__y"]) for r in sample.dropDuplicates(["__id"]).collect())
-    return train([r[2] for r in rows], [r[3] for r in rows])
+    model = train([r[2] for r in rows], [r[3] for r in rows])
+    if model:
+        model.thresholds = thresholds(_logit_counts(docs, known, model, id_col, text_col))
+    return model
+
+
+def _logit_counts(docs: DataFrame, known: DataFrame, model: Model, id_col: str, text_col: str) -> list[tuple[str, int, int, int]]:
+    """Rows (language, label, bin, count) of all texts of the ids in `known`; texts are scored where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            judged = [scorer.judged(t.as_py()) for t in batch.column(1)]
+            bins = [round(min(max(logit, -FAR), FAR) * BINS) for logit, _ in judged]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lang for _, lang in judged], pa.string()), pa.array(bins, pa.int32())], ["__id", "__lang", "__bin"])
+
+    plain = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) > 0))
+    plain = plain.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    binned = plain.mapInArrow(run, "__id long, __lang string, __bin int").join(known.select("__id", "__y"), "__id")
+    return [tuple(r) for r in binned.groupBy("__lang", "__y", "__bin").count().collect()]
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

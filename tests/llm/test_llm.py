@@ -277,6 +277,24 @@ def test_toxicity_without_labels(spark, odd):
     assert model is None and {r["score"] for r in toxicity.scored(odd, model).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts_and_all_rows(spark, monkeypatch):
+    rows = [(k, ("plain " * 4000 + ("foulword " if k % 2 else "kindword ")) * 1, k % 2) for k in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    counted = []
+    monkeypatch.setattr(toxicity, "thresholds", lambda bins, real=toxicity.thresholds: counted.extend(bins) or real(bins))
+    model = toxicity.fit(docs, labels)
+    got = toxicity.scored(docs, model).collect()
+    assert sum(r[3] for r in counted) == sum(not r["held_out"] for r in got) > 40
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_toxicity_thresholds_move_without_a_switch():
+    shared = [("en", 0, -50, 1000), ("en", 1, 50, 1000)]
+    cuts = [toxicity.thresholds([*shared, ("de", 0, 60, 3 * n), ("de", 1, 90, n)])["de"] for n in (1, 14, 15, 400)]
+    assert -1 < cuts[0] < cuts[3] and cuts[1] == cuts[2] == cuts[3] and 1.2 < cuts[3] < 1.8
+
+
 def test_line_dedup_keeps_first_copies(spark):
     line = "at 10:45 the server took 12 ms to answer the client in the second room of the house"
     other = line.replace("12", "99").replace("10:45", "11:02")
