@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assignments import Assigned, Lexer
 from .common import blank
 
 # Fixed patterns. Letters of names match in either case, ASCII only.
@@ -37,17 +37,16 @@ PLACEHOLDER = re.compile(r"(?i)^(?:changeme|example|placeholder|your|none|null|t
 THRESHOLD = 0.5
 
 _PART = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-# an unquoted operand holds = (padding of base 64) but not the one before a quoted literal
-_OPERAND = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9_$](?:[A-Za-z0-9+/_.$-]|=(?!["']))*+)"""
-_TARGET = r"""[A-Za-z_][A-Za-z0-9_.-]*+["'\]]{0,2}[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
-#: targets, each with an assignment or a colon, then operands joined by + (as in source, JSON, YAML, INI and shell).
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])({_TARGET}(?:["']?{_TARGET}(?=[A-Za-z0-9_$"']))*+)({_OPERAND}(?:[\x20\t]*+\+[\x20\t]*+{_OPERAND})*+)""")
-TARGET = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.-]*+)(?=["'\]]{{0,2}}[\x20\t]*+[:=])""")
-OPERAND = re.compile(_OPERAND)
-#: An unquoted operand that is an assignment of its own.
-INNER = re.compile("([A-Za-z_][A-Za-z0-9_.-]*+)=(?!=)(.+)")
-#: Joined values are scored by so many leading characters.
-HEAD = 257
+_AROUND = re.compile(r"[\w.$-]+")
+_SIGNS = re.compile("[=:<(,|]|--|define")
+#: Words of sentences: literals that hold one are messages, not phrases to log in with.
+SENTENCE = {
+    "a", "an", "and", "are", "at", "be", "by", "can", "cannot", "do", "enter", "for", "from", "has", "have", "in", "incorrect", "invalid", "is", "it", "least", "missing", "must",
+    "new", "no", "not", "of", "on", "or", "please", "required", "should", "that", "the", "this", "to", "was", "were", "will", "with", "wrong", "you", "your",
+}
+_PHRASE = re.compile(r"[\w'-]+(?: [\w'-]+){2,}")
+#: Characters of a value that are looked at for placeholders.
+HEAD = 64
 
 
 def _name_score(name: str) -> float:
@@ -58,75 +57,71 @@ def _name_score(name: str) -> float:
     return 0.0 if HARMLESS & set(parts) else min(1.0, score)
 
 
-def _literal_score(text: str, plain: float = 0.45) -> float:
-    """plain: the most that a literal without both letters and digits gets."""
-    if len(text) < 8 or PLACEHOLDER.match(text) or " " in text:
-        return 0.0
-    n = len(text)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(text[:256]).values()) if n <= 256 else 4.0
-    mixed = any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
-    return min(1.0, bits / 3.0) * (1.0 if mixed else plain)
-
-
-def _passes(weight: float, text: str, plain: bool = True) -> bool:
-    return weight * _literal_score(text, 0.6 if plain and weight >= 1 else 0.45) >= THRESHOLD
-
-
 @dataclass
-class _Assigned:
-    names: list[str]
-    #: Literals as spans, and the numbers of assignments whose values come in, in order.
-    parts: list[tuple[int, int] | int]
-    #: Unquoted operands that may be values or names, and whether letters alone can be one.
-    bare: list[tuple[int, int, bool]]
-    head: str | None = None
-
-
-def _assignments(text: str) -> list[_Assigned]:
-    """All assignments in order of the text; a name stands for its last value before, or else for its first one after."""
-    found, operands = [], []
-    for m in PAIR.finditer(text):
-        own = [(o[0], o.start(), o.end()) for o in OPERAND.finditer(text, m.start(2), m.end(2))]
-        found.append([t[1] for t in TARGET.finditer(text, m.start(1), m.end(1))])
-        operands.append(own)
-        for raw, start, end in own:
-            if raw[0] not in "\"'" and (inner := INNER.fullmatch(raw)):
-                found.append([inner[1]])
-                operands.append([(inner[2], start + inner.start(2), end)])
-    defined: dict[str, list[int]] = {}
-    for i, names in enumerate(found):
-        for name in {n for full in names for n in (full, full.rpartition(".")[2])}:
-            defined.setdefault(name, []).append(i)
-    out = []
-    for i, own in enumerate(operands):
-        one = _Assigned(found[i], [], [])
-        for raw, start, end in own:
-            if raw[0] in "\"'":
-                one.parts.append((start + 1, end - 1))
-                continue
-            places = defined.get(raw, [])
-            k = bisect_left(places, i)
-            if k:
-                one.parts.append(places[k - 1])
-                continue
-            later = places[k + 1] if k + 1 < len(places) and places[k] == i else places[k] if k < len(places) and places[k] != i else None
-            if later is not None:
-                one.parts.append(later)
-            elif len(own) == 1:
-                one.parts.append((start, end))
-            one.bare.append((start, end, len(own) == 1 and text[end : end + 1] not in ("(", "[", "{", ".")))
-        out.append(one)
-    return out
-
-
-def _fill_heads(text: str, found: list[_Assigned]) -> None:
-    """The first HEAD characters of each joined value; a value that comes back to itself adds nothing there."""
+class _Value:
+    """What scoring needs of a value of any length: its first characters, shares and number of characters, and signs of prose."""
+
+    head: str = ""
+    n: float = 0.0
+    shares: dict[str, float] = field(default_factory=dict)
+    prose: bool = False
+
+    @classmethod
+    def of(cls, text: str) -> _Value:
+        n = len(text)
+        # with spaces, three words or more that make no sentence are a phrase; all else is prose
+        prose = any(c.isspace() for c in text) and (not _PHRASE.fullmatch(text) or bool(SENTENCE & set(text.lower().split())))
+        return cls(text[:HEAD], float(n), {c: k / n for c, k in Counter(text).items()}, prose)
+
+    def add(self, other: _Value) -> None:
+        self.head = (self.head + other.head)[:HEAD]
+        # lengths of chains of constants can double from one to the next
+        own, more = min(self.n, 1e200), min(other.n, 1e200)
+        self.n = own + more
+        if self.n:
+            self.shares = {c: (self.shares.get(c, 0.0) * own + other.shares.get(c, 0.0) * more) / self.n for c in self.shares.keys() | other.shares.keys()}
+        self.prose |= other.prose
+
+    def score(self, plain: float) -> float:
+        """plain: the most that a value without both letters and digits gets."""
+        if self.n < 8 or self.prose or PLACEHOLDER.match(self.head):
+            return 0.0
+        bits = -sum(x * math.log2(x) for x in self.shares.values() if x > 0)
+        mixed = any(c.isdigit() for c in self.shares) and any(c.isalpha() for c in self.shares) and " " not in self.shares
+        return min(1.0, bits / 3.0) * (1.0 if mixed else plain)
+
+    def passes(self, weight: float, plain: bool = True) -> bool:
+        return weight * self.score(0.6 if plain and weight >= 1 else 0.45) >= THRESHOLD
+
+
+def _promising(text: str, start: int = 0, end: int | None = None) -> bool:
+    """Whether a name of some weight and a sign of an assignment are in the text: without these, no value can pass."""
+    part = text if end is None else text[start:end]
+    low = part.lower()
+    if len(low) != len(part):  # a letter that becomes two
+        low = "".join(c.lower()[0] for c in part)
+    for word in SENSITIVE:
+        at = low.find(word)
+        while at >= 0:
+            a = at
+            while a and _AROUND.match(part[a - 1]):
+                a -= 1
+            name = _AROUND.match(part, a)
+            if _name_score(name[0]):
+                return bool(_SIGNS.search(part))
+            at = low.find(word, name.end())
+    return False
+
+
+def _values(text: str, found: list[Assigned]) -> list[_Value]:
+    """Each joined value; a value that comes back to itself adds nothing there."""
     entered = [False] * len(found)
+    out: list[_Value | None] = [None] * len(found)
     for first in range(len(found)):
         stack = [first]
         while stack:
             i = stack[-1]
-            if found[i].head is not None:
+            if out[i] is not None:
                 stack.pop()
                 continue
             below = [] if entered[i] else [p for p in found[i].parts if isinstance(p, int) and not entered[p]]
@@ -134,13 +129,12 @@ def _fill_heads(text: str, found: list[_Assigned]) -> None:
             if below:
                 stack += below
                 continue
-            head = ""
+            value = _Value()
             for p in found[i].parts:
-                head += (found[p].head or "") if isinstance(p, int) else text[p[0] : min(p[1], p[0] + HEAD)]
-                if len(head) >= HEAD:
-                    break
-            found[i].head = head[:HEAD]
+                value.add((out[p] or _Value()) if isinstance(p, int) else _Value.of(text[p[0] : p[1]]))
+            out[i] = value
             stack.pop()
+    return out
 
 
 def pairs(text: str) -> list[tuple[int, int]]:
@@ -149,13 +143,13 @@ def pairs(text: str) -> list[tuple[int, int]]:
     A value is what its operands make when joined; if it passes, all its parts are secrets. Parts that pass by
     themselves are secrets too.
     """
-    if "=" not in text and ":" not in text:
+    if not _promising(text):
         return []
-    found = _assignments(text)
+    found = Lexer(text, _promising).found
     weights = [max(map(_name_score, one.names), default=0.0) for one in found]
     if not any(weights):
         return []
-    _fill_heads(text, found)
+    values = _values(text, found)
     out: set[tuple[int, int]] = set()
     seen: set[tuple[int, float]] = set()
     whole: set[int] = set()
@@ -169,11 +163,11 @@ def pairs(text: str) -> list[tuple[int, int]]:
                 if (i, weight) in seen:
                     continue
                 seen.add((i, weight))
-                out.update((a, b) for a, b, alone in one.bare if _passes(weight, text[a:b], alone))
+                out.update((a, b) for a, b, alone in one.bare if _Value.of(text[a:b]).passes(weight, alone))
                 single = {(a, b): alone for a, b, alone in one.bare}
-                taken = not (len(one.parts) == 1 and one.parts[0] in single and not single[one.parts[0]]) and _passes(weight, one.head)
+                taken = not (len(one.parts) == 1 and one.parts[0] in single and not single[one.parts[0]]) and values[i].passes(weight)
                 if not taken:
-                    out.update(p for p in one.parts if not isinstance(p, int) and p not in single and _passes(weight, text[p[0] : p[1]]))
+                    out.update(p for p in one.parts if not isinstance(p, int) and p not in single and _Value.of(text[p[0] : p[1]]).passes(weight))
             if taken:
                 if i in whole:
                     continue
@@ -201,7 +195,13 @@ _LONG_HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST['hex']},}}")
 def spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The base spans, and these with the pairs that no base span covers."""
     base = base_spans(text)
-    extra = [(a, "pair", b) for a, b in pairs(text) if not any(s <= a and b <= e for s, _, e in base)]
+    extra, at, reach = [], 0, -1
+    for a, b in pairs(text):
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if b > reach:
+            extra.append((a, "pair", b))
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
