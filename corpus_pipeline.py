@@ -17,8 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template a document of smaller id has go; every document stays."""
-    return lines.dedup_lines(docs)
+    """Lines whose template a document of smaller id has go, and so do documents that this leaves without any.
+
+    Documents that were blank before stay, null texts stay null; repeated rows are treated alike.
+    """
+    return lines.dedup_lines(docs, emptied=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree, in DataFrame functions alone.
 
-A fixed-depth parse tree routes a line by its number of tokens and its leading tokens; numbers count as variable and are
-masked. In a leaf, a line of at least `FIELD_TOKENS` tokens is filed under FIELDS templates: its other tokens fall into
-FIELDS consecutive fields, and each template has one of these fields open (a wildcard). Lines that differ in numbers, or
-within one field, so meet in a template; no pair of lines is ever compared.
+A fixed-depth parse tree routes a line by its number of tokens and its leading token; tokens with a digit count as
+variable and are masked. In a leaf, a line is filed under several templates: its other tokens fall into consecutive
+fields, each of at most OPEN_SHARE of the line's tokens, and each template has one of these fields open (a wildcard).
+Lines that differ in numbers, or within one field, so meet in a template; no pair of lines is ever compared. A line so
+short that one token is more than that share has one template, the line itself.
 """
 
 from __future__ import annotations
@@ -13,28 +14,29 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Leading tokens that route a line, and fields of the rest.
-LEADING, FIELDS = 2, 4
-#: Shorter lines are filed as they are, with numbers masked; lines under MIN_TOKENS never count as recurring.
-FIELD_TOKENS, MIN_TOKENS = 10, 4
+#: Tenths of a line's tokens that an open field may hold, and the most fields that this gives a line of any length.
+OPEN_TENTHS, FIELDS = 3, 5
+#: A template is hot from this share of all filed rows on; so there are at most as many hot ones.
+HOT = 1_000
 
 
 def _templates(line: Column) -> Column:
-    """The template keys of a line: none, one hash, or one for each open field."""
+    """The template keys of a line: none for a blank one, else one for each open field."""
 
     def keys(t: Column) -> Column:
         n = F.size(t)
+        width = F.floor(n * OPEN_TENTHS / 10).cast("int")
         whole = F.array(F.xxhash64(F.lit(-1), t))
-        return F.when(n < MIN_TOKENS, F.array().cast("array<bigint>")).when(n < FIELD_TOKENS, whole).otherwise(fielded(t))
+        return F.when((n == 1) & (t[0] == ""), F.array().cast("array<bigint>")).when(width == 0, whole).otherwise(fielded(t, n, width))
 
-    def fielded(t: Column) -> Column:
-        n = F.size(t)
-        each = F.ceil((n - LEADING) / FIELDS).cast("int")
-        parts = F.array(F.xxhash64(n, F.slice(t, 1, LEADING)), *[F.xxhash64(F.slice(t, F.lit(LEADING + 1) + each * k, each)) for k in range(FIELDS)])
-        return bind(parts, lambda p: F.array(*[F.xxhash64(F.lit(k), *[p[j] for j in range(FIELDS + 1) if j != k + 1]) for k in range(FIELDS)]))
+    def fielded(t: Column, n: Column, width: Column) -> Column:
+        parts = F.array(F.xxhash64(n, t[0]), *[F.xxhash64(F.slice(t, 2 + width * k, width)) for k in range(FIELDS)])
+        each = bind(parts, lambda p: F.array(*[F.xxhash64(F.lit(k), *[p[j] for j in range(FIELDS + 1) if j != k + 1]) for k in range(FIELDS)]))
+        return F.slice(each, F.lit(1), F.ceil((n - 1) / width).cast("int"))
 
-    spaced = F.regexp_replace(F.translate(line, "\t\x0b\x0c\r", "    "), "[0-9]+", "0")
-    return bind(F.split(F.trim(spaced), " +", -1), keys)
+    spaced = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
+    masked = F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "0")
+    return bind(F.split(masked, " +", -1), keys)
 
 
 def bind(value: Column, use) -> Column:
@@ -55,8 +57,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filed = lines.select("doc", "text_hash", "pos", _templates(F.col("line")).alias("keys"))
     filed = materialise(filed)
     keyed = filed.select("doc", "text_hash", "pos", F.explode("keys").alias("key"))
-    seen = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key", "first")
-    hits = keyed.join(seen, "key").filter("doc <> first")
+    seen = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    seen = materialise(seen.filter("first <> last").select("key", "first", "n"))
+    # at most HOT templates have so many rows each; their rows stay where they are
+    most = filed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = F.broadcast(seen.filter(F.col("n") > most / HOT).select("key", "first"))
+    cold = keyed.join(hot.select("key"), "key", "left_anti").join(seen.filter(F.col("n") <= most / HOT).select("key", "first"), "key")
+    hits = keyed.join(hot, "key").unionByName(cold).filter("doc <> first")
     return hits.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -64,13 +71,15 @@ def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
-    """The documents without lines whose template recurs in a document of smaller id; all rows and columns stay.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detail: bool = False, emptied: bool = True) -> DataFrame:
+    """The documents without lines whose template recurs in a document of smaller id; all columns stay.
 
-    Lines are what "\\n" splits. Null texts stay null and empty ones empty; a document may become empty. Rows of one id
-    are one document, and null ids are together one document before all others; repeated rows are treated alike.
-    Lines under MIN_TOKENS tokens (blank lines too) always stay. A column n_chars is brought up to date. Columns of any
-    other name are carried. With detail, columns n_lines and n_dropped are added (0 lines for a null text).
+    Lines are what "\\n" splits. Null texts stay null and empty ones empty. A document that loses every line that is not
+    blank is like documents of smaller ids throughout: its row stays with what blank lines it has, or goes if `emptied`
+    is false. Rows of one id are one document, and null ids are together one document before all others; repeated rows
+    are treated alike. Blank lines always stay. An empty table gives an empty one. A column n_chars is brought up to
+    date. Columns of any other name are carried, but for those that start with two underscores, which must not be
+    there. With detail, columns n_lines and n_dropped are added (0 lines for a null text) in place of any of that name.
     """
     drops = recurring_lines(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__drop"))
     keyed = docs.withColumns({"__doc": _doc(id_col), "__hash": F.xxhash64(text_col)})
@@ -88,7 +97,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new["__n_lines"] = F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0))
         new["__n_dropped"] = F.coalesce(F.size("__drop"), F.lit(0))
     out = out.withColumns(new)
-    cols = [F.col(c) for c in docs.columns]
+    if not emptied:
+        out = out.filter(F.col("__drop").isNull() | (F.trim(F.translate(text_col, "\t\x0b\x0c\r\n", "     ")) != ""))
+    cols = [F.col(c) for c in docs.columns if not detail or c not in ("n_lines", "n_dropped")]
     if detail:
         cols += [F.col("__n_lines").alias("n_lines"), F.when(F.col("__n_dropped") < 0, 0).otherwise(F.col("__n_dropped")).alias("n_dropped")]
     return out.select(*cols)

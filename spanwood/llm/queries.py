@@ -54,19 +54,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup)}
 
-_SPACED = r"""regexp_replace(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[0-9]+', '0', 'g')"""
+_SPACED = r"""trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ')"""
 SQL = {
-    # fields as in lines.py: two leading tokens, then four fields; a template leaves one of them out
+    # fields as in lines.py: one leading token, then fields of at most three tenths of the line; a template leaves one of them out
     "op10_line_dedup": f"""
     WITH docs AS (SELECT doc_id, text, row_number() OVER () r FROM documents),
     lines AS (SELECT doc_id, r, pos, line FROM (SELECT doc_id, r, string_split(text, chr(10)) ls FROM docs),
       LATERAL (SELECT unnest(ls) line, unnest(range(len(ls))) pos)),
-    toks AS (SELECT doc_id, r, pos, string_split_regex(trim({_SPACED}, ' '), ' +') t FROM lines),
-    sized AS (SELECT *, len(t) n, CAST(ceil((len(t) - 2) / 4.0) AS BIGINT) w FROM toks),
+    toks AS (SELECT doc_id, r, pos, list_transform(string_split_regex({_SPACED}, ' +'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '0' ELSE x END) t
+      FROM lines WHERE {_SPACED} <> ''),
+    sized AS (SELECT *, len(t) n, len(t) * {lines.OPEN_TENTHS} // 10 w FROM toks),
     filed AS (
-      SELECT doc_id, r, pos, {{'k': -1, 'n': n, 'p': t}} key FROM sized WHERE n >= 4 AND n < 10
-      UNION ALL
-      SELECT doc_id, r, pos, {{'k': k, 'n': n, 'p': t[1:2 + k * w] || t[2 + (k + 1) * w + 1:]}} FROM sized, range(4) ks(k) WHERE n >= 10),
+      SELECT doc_id, r, pos, {{'k': k, 'n': n, 'p': t[1:1 + k * w] || t[2 + (k + 1) * w:]}} key FROM sized, range(5) ks(k)
+      WHERE k < CASE WHEN w = 0 THEN 1 ELSE ceil((n - 1) / w) END),
     seen AS (SELECT key, min(doc_id) first FROM filed GROUP BY key HAVING min(doc_id) <> max(doc_id)),
     drops AS (SELECT DISTINCT r, pos FROM filed JOIN seen USING (key) WHERE doc_id <> first),
     kept AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) text FROM lines ANTI JOIN drops USING (r, pos) GROUP BY r),
