@@ -13,19 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, computes it once and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts lineage, computes it once and outlives lost executors.
+
+    What is read back is part of the caller's lazy result, so it stays until its folder is cleared: `discard` removes a
+    table that has no reader any more.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialise wrote; nothing may read it from now on."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def blank(text: str | Column) -> Column:
@@ -65,8 +83,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialise(small.filter("u <> v").distinct())
+        before, e = e, materialise(small.filter("u <> v").distinct())
         now = _state(e)
+        discard(before)
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now

@@ -12,13 +12,15 @@ import numpy as np
 
 #: Links of a node in the lowest layer and in the others, width of the beam while building, vectors in a batch.
 LOW, HIGH, BUILD, BATCH = 32, 16, 48, 512
+#: Width of the beam before any audit.
+FIRST = 16
 #: Candidates that a search expands at a time, and queries that it runs side by side.
 WIDE, BESIDE = 4, 256
 
 
 class Graph:
     def __init__(self, raw: np.ndarray, threshold: float = 0.9, seed: int = 11):
-        """raw: float32 rows, none of them zero. threshold: least cosine of a link."""
+        """raw: rows of floats, none of them zero. threshold: least cosine of a link."""
         self.raw = raw
         self.angle = float(np.arccos(threshold))
         self.unit = self._unit(raw).astype(np.float32)
@@ -28,7 +30,7 @@ class Graph:
         self.links = [np.full((n, LOW if k == 0 else HIGH), -1, np.int32) for k in range(int(self.level.max(initial=0)) + 1)]
         self.bundle = np.full(n, -1, np.int32)
         self.entry, self.top = -1, -1
-        self.beam = BUILD
+        self.beam = FIRST
         near = np.float32(np.cos(self.angle / 2 * 0.999))
         at, nodes = 0, 0
         while at < n:
@@ -41,6 +43,18 @@ class Graph:
         cos = np.einsum("ij,ij->i", self._unit(raw), self._unit(raw[self.bundle]))
         self.radius = np.zeros(n)
         np.maximum.at(self.radius, self.bundle, np.where(self.bundle == np.arange(n), 0, np.arccos(np.clip(cos, -1, 1)) + 1e-9))
+        self.stray = self._strays()
+
+    def _strays(self) -> np.ndarray:
+        """Nodes that no walk in the lowest layer reaches from the entry: a search compares them one by one."""
+        reached = self.bundle != np.arange(len(self.raw))
+        front = np.array([self.entry] if self.entry >= 0 else [], np.int64)
+        while len(front):
+            reached[front] = True
+            near = np.unique(self.links[0][front])
+            near = near[near >= 0]
+            front = near[~reached[near]]
+        return np.flatnonzero(~reached)
 
     @staticmethod
     def _unit(raw: np.ndarray) -> np.ndarray:
@@ -200,8 +214,10 @@ class Graph:
     def audit(self, recall: float, sample: int = 256, seed: int = 5) -> float:
         """Widen the beam until, of sampled queries, this share meets every node that brute force links it with; the share.
 
-        Queries are `sample` rows, as many members of bundles, and both turned away to just within the link angle.
+        Queries are `sample` rows, as many members of bundles, and both turned away to just within the link angle. A beam
+        that would hold all nodes compares them all, so that no share can stay below `recall` for good.
         """
+        self.stray = self._strays()
         rng = np.random.default_rng(seed)
         members = np.flatnonzero(self.bundle != np.arange(len(self.raw)))
         chosen = np.concatenate([rng.choice(own, min(sample, len(own)), replace=False) for own in (np.arange(len(self.raw)), members) if len(own)])
@@ -218,7 +234,7 @@ class Graph:
             share = float(np.mean([np.isin(w, m).all() for w, m in zip(wanted, met, strict=True)]))
             if share >= recall or self.beam >= len(nodes):
                 return share
-            self.beam = int(self.beam * 1.5)
+            self.beam = max(self.beam + 1, int(self.beam * 1.5))
 
     def _met(self, unit: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
         """For each row of unit: the nodes within whose reach it is, the link angle and the node's own radius.
@@ -234,8 +250,9 @@ class Graph:
             ids, sims = self.nearest(unit, self.beam)
             within = (ids >= 0) & (sims >= reach[ids])
             full = (ids[:, -1] < 0) | (sims[:, -1] >= reach[nodes].min())
+            lone = unit @ self.unit[self.stray].T >= reach[self.stray]
             for i in np.flatnonzero(~full):
-                out[i] = ids[i][within[i]]
+                out[i] = np.union1d(ids[i][within[i]], self.stray[lone[i]])
             todo = np.flatnonzero(full)
         vectors, least = self.unit[nodes], reach[nodes]
         for a in range(0, len(todo), BESIDE):
@@ -274,14 +291,14 @@ class Graph:
     def dump(self) -> bytes:
         f = io.BytesIO()
         rest = {f"links{k}": x for k, x in enumerate(self.links)}
-        np.savez(f, raw=self.raw, level=self.level.astype(np.int8), bundle=self.bundle, order=self.order, starts=self.starts, radius=self.radius, numbers=np.array([self.entry, self.top, self.beam]), angle=self.angle, **rest)
+        np.savez(f, raw=self.raw, level=self.level.astype(np.int8), bundle=self.bundle, order=self.order, starts=self.starts, radius=self.radius, stray=self.stray, numbers=np.array([self.entry, self.top, self.beam]), angle=self.angle, **rest)
         return f.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
         g = cls.__new__(cls)
-        g.raw, g.level, g.bundle, g.order, g.starts, g.radius, g.angle = z["raw"], z["level"], z["bundle"], z["order"], z["starts"], z["radius"], float(z["angle"])
+        g.raw, g.level, g.bundle, g.order, g.starts, g.radius, g.stray, g.angle = z["raw"], z["level"], z["bundle"], z["order"], z["starts"], z["radius"], z["stray"], float(z["angle"])
         g.entry, g.top, g.beam = map(int, z["numbers"])
         g.links = [z[f"links{k}"] for k in range(sum(x.startswith("links") for x in z.files))]
         g.unit = cls._unit(g.raw).astype(np.float32)
