@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 PARTS = sum(WIDTHS)
 #: At most so many labelled rows of each class train the model.
 TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 2_500
+#: Folds of ids that models are calibrated across.
+FOLDS = 2
 #: Least steps and epochs of training, most rows of a step, most words of a step of several texts, step size.
 STEPS, EPOCHS, MINIBATCH, STEP_WORDS, RATE = 400, 3, 48, 60_000, 0.15
 #: Bins of a logit's unit and the largest logit told apart; all languages' rows weigh in a language as so many toxic ones.
@@ -83,6 +85,8 @@ class Model:
     out_bias: float
     thresholds: dict[str, float]
     slope: float
+    #: Toxic rows of its own that each language's threshold was set on.
+    calibrated: dict[str, int] = field(default_factory=dict)
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         """What each word, given by its hashed rows, adds to each filter at each of its places."""
@@ -162,8 +166,10 @@ def _step(m: Model, sums: list, docs: list, y: np.ndarray, rows: np.ndarray, gap
     added = np.vstack([vec @ m.conv, np.zeros((len(gap), PARTS * FILTERS), np.float32)])
     n = len(docs)
     pooled, place = [], []
-    for v in _windows(added):
-        v = v[: len(flat)]
+    # words that each place has left in its text: windows lie inside, as they do when a text is scored
+    left = np.concatenate([np.r_[np.arange(len(d), 0, -1), np.zeros(len(gap), np.int64)] for d in docs])
+    for width, v in zip(WIDTHS, _windows(added), strict=True):
+        v = np.where((left >= width)[:, None], v[: len(flat)], -np.inf)
         top = np.maximum.reduceat(v, starts, axis=0)
         hit = v == np.repeat(top, np.diff([*starts, len(flat)]), axis=0)
         at = np.where(hit, np.arange(len(flat))[:, None], len(flat))
@@ -271,38 +277,41 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Train on a bounded sample of the labelled rows that are not held out, then set thresholds on all of these rows.
 
-    The sample is the smallest hashes of each class, some TRAIN_TOXIC + TRAIN_CLEAN rows of any length (its ids are
-    broadcast, its texts come to the driver). Thresholds come from counts of binned logits by language and label. Rows
-    with null ids, labels or texts do not train; an id that is labelled twice counts by its larger label.
+    The sample is the rows of the smallest hashes of each class, at most TRAIN_TOXIC and TRAIN_CLEAN of any length (their
+    ids are broadcast, their texts come to the driver). For thresholds, FOLDS more models each leave out a fold of ids;
+    every labelled row is scored by the model that never saw its fold, and counts of binned logits by language and label
+    set the cuts. A fold whose rest has no row of one class uses the whole model. The result's `calibrated` says how many
+    toxic rows of its own each language had. Rows with null ids, labels or texts and empty texts do not train; an id that
+    is labelled twice counts by its larger label, and of an id with several texts the smallest text trains.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y")).withColumn("__h", F.pmod(F.xxhash64("__id"), F.lit(1 << 20)))
-    sizes = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    keep = F.lit(False)
-    for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        keep |= (F.col("__y") == y) & (F.col("__h") < int((1 << 20) * min(1.0, most / max(1, sizes.get(y, 0)))))
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(F.length("__text") > 0).join(F.broadcast(known.filter(keep)), "__id")
-    rows = sorted((r["__h"], r["__id"], r["__text"], r["__y"]) for r in sample.dropDuplicates(["__id"]).collect())
-    model = train([r[2] for r in rows], [r[3] for r in rows])
+    known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    known = known.withColumns({"__h": F.xxhash64("__id"), "__fold": F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(FOLDS)).cast("int")})
+    plain = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    least = [known.filter(F.col("__y") == y).orderBy("__h", "__id").limit(most) for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    sample = plain.join(F.broadcast(least[0].unionByName(least[1])), "__id").groupBy("__h", "__id", "__y", "__fold").agg(F.min("__text").alias("__text"))
+    rows = sorted(tuple(r) for r in sample.collect())
+    model = train([r[4] for r in rows], [r[2] for r in rows])
     if model:
-        model.thresholds = thresholds(_logit_counts(docs, known, model, id_col, text_col))
+        others = [train([r[4] for r in rows if r[3] != k], [r[2] for r in rows if r[3] != k]) or model for k in range(FOLDS)]
+        bins = _logit_counts(plain.join(known, "__id"), others)
+        model.thresholds = thresholds(bins)
+        model.calibrated = {lang: sum(n for own, y, _, n in bins if y and own == lang) for lang in LANGUAGES}
     return model
 
 
-def _logit_counts(docs: DataFrame, known: DataFrame, model: Model, id_col: str, text_col: str) -> list[tuple[str, int, int, int]]:
-    """Rows (language, label, bin, count) of all texts of the ids in `known`; texts are scored where they lie."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _logit_counts(labelled: DataFrame, models: list[Model]) -> list[tuple[str, int, int, int]]:
+    """Rows (language, label, bin, count) of labelled(__text, __y, __fold), each scored by its fold's model."""
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorers = [Scorer(m) for m in shared.value]
         for batch in batches:
-            judged = [scorer.judged(t.as_py()) for t in batch.column(1)]
+            judged = [scorers[k].judged(t.as_py()) for t, k in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             bins = [round(min(max(logit, -FAR), FAR) * BINS) for logit, _ in judged]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lang for _, lang in judged], pa.string()), pa.array(bins, pa.int32())], ["__id", "__lang", "__bin"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang for _, lang in judged], pa.string()), batch.column(1), pa.array(bins, pa.int32())], ["__lang", "__y", "__bin"])
 
-    plain = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) > 0))
-    plain = plain.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    binned = plain.mapInArrow(run, "__id long, __lang string, __bin int").join(known.select("__id", "__y"), "__id")
+    binned = labelled.select("__text", "__y", "__fold").mapInArrow(run, "__lang string, __y int, __bin int")
     return [tuple(r) for r in binned.groupBy("__lang", "__y", "__bin").count().collect()]
 
 
@@ -325,7 +334,11 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns.
+
+    Null texts stay, as empty and blank ones do unless such were labelled toxic; rows are judged one by one, repeated ones
+    alike; an empty table gives an empty one. Without a model all stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
