@@ -1,8 +1,8 @@
 """URL filters: fixed rules first, then the ratio of two character language models.
 
 Both models are variable-order Markov models over a small alphabet, with Witten-Bell interpolation from order 0 up to
-ORDER. URLs that rules allow or block are their training rows, all of them; the threshold on the mean log-likelihood
-difference for a character is the one that parts these rows best.
+ORDER. URLs that rules allow or block are their training rows, all of them. The threshold on the mean log-likelihood
+difference for a character is the one that parts these rows best, each scored by models that left out its fold.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ for _k, _c in enumerate(_SIGNS):
 for _c in "123456789":
     _CODES[ord(_c)] = _SIGNS.index("0")
 BINS = 2_000
+#: Folds of URLs (equal ones fall in one) that the threshold is set across.
+FOLDS = 2
 SPAN = 8.0
 
 
@@ -64,11 +66,10 @@ def grams(url: str | None) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for allow in (True, False):
-            rows = [grams(u) for u, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if a == allow]
-            if rows:
-                gram, n = np.unique(np.concatenate(rows), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([allow] * len(gram)), pa.array(gram), pa.array(n)], ["allow", "gram", "n"])
+        urls, groups = batch.column(0).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        for allow, fold in sorted(set(groups)):
+            gram, n = np.unique(np.concatenate([grams(u) for u, g in zip(urls, groups, strict=True) if g == (allow, fold)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([allow] * len(gram)), pa.array([fold] * len(gram), pa.int32()), pa.array(gram), pa.array(n)], ["allow", "fold", "gram", "n"])
 
 
 def _log_model(counts: np.ndarray) -> np.ndarray:
@@ -82,49 +83,53 @@ def _log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).ravel()
 
 
-def fit(urls: DataFrame) -> np.ndarray:
-    """The table of log-likelihood differences, allowed less blocked, for each gram of urls(url, allow).
+def fit(urls: DataFrame) -> list[np.ndarray]:
+    """Tables of log-likelihood differences, allowed less blocked, for each gram of urls(url, allow, fold).
 
-    Counts cover every row. There are at most SIZE ** (ORDER + 1) grams (3 million), whatever the input, so the
-    counts and the table (float16, 6 MB) have a bound.
+    One table for each fold, made without its rows, and then one of all rows. Counts cover every row. There are at most
+    SIZE ** (ORDER + 1) grams (3 million), whatever the input, so the counts and the tables (float16, 6 MB each) have a
+    bound.
     """
-    counted = urls.mapInArrow(_counted, "allow boolean, gram long, n long").groupBy("allow", "gram").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    models = []
-    for allow in (True, False):
-        own = got[got["allow"] == allow]
-        dense = np.zeros(SIZE ** (ORDER + 1), np.float32)
-        dense[own["gram"].to_numpy()] = own["n"].to_numpy()
-        models.append(_log_model(dense))
-    return (models[0] - models[1]).astype(np.float16)
+    counted = urls.select("url", "allow", "fold").mapInArrow(_counted, "allow boolean, fold int, gram long, n long")
+    got = counted.groupBy("allow", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
+    tables = []
+    for left_out in (*range(FOLDS), None):
+        models = []
+        for allow in (True, False):
+            own = got[(got["allow"] == allow) & (got["fold"] != left_out)]
+            dense = np.zeros(SIZE ** (ORDER + 1), np.float32)
+            np.add.at(dense, own["gram"].to_numpy(dtype=np.int64), own["n"].to_numpy(dtype=np.float32))
+            models.append(_log_model(dense))
+        tables.append((models[0] - models[1]).astype(np.float16))
+    return tables
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """Return page_id, host, path, rule, verdict, score of each row.
 
     A rule's verdict stands; other URLs are allowed if their score, the mean log-likelihood difference of a character,
-    reaches the threshold. Null and empty URLs score 0. Without rows of both verdicts the threshold is 0. Rows are
-    judged one by one, repeated ones alike; other columns are not read.
+    reaches the threshold. Null and empty URLs score 0; long ones are read whole. Without rows of both verdicts the
+    threshold is 0. Rows are judged one by one, repeated ones alike; other columns are not read. An empty table gives an
+    empty one.
     """
     spark = pages.sparkSession
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    ruled = rows.filter("by_rule is not null").select("url", (F.col("by_rule") == "allow").alias("allow"))
-    table = spark.sparkContext.broadcast(fit(ruled))
+    ruled = rows.filter("by_rule is not null").select("url", (F.col("by_rule") == "allow").alias("allow"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("fold"))
+    tables = spark.sparkContext.broadcast(fit(ruled))
 
-    def score(urls: pd.Series) -> pd.Series:
-        ratio = table.value
-        own = [grams(u) for u in urls]
-        return pd.Series([float(ratio[g].astype(np.float32).mean()) if len(g) else 0.0 for g in own], dtype="float64")
+    def score(urls: pd.Series, folds: pd.Series) -> pd.Series:
+        own = [(tables.value[k], grams(u)) for u, k in zip(urls, folds, strict=True)]
+        return pd.Series([float(ratio[g].astype(np.float32).mean()) if len(g) else 0.0 for ratio, g in own], dtype="float64")
 
     scored = F.pandas_udf(score, "double")
     bins = F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS)
-    spread = ruled.withColumn("score", scored("url")).groupBy("allow", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    spread = ruled.withColumn("score", scored("url", "fold")).groupBy("allow", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     threshold = _threshold(spread)
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return rows.withColumn("score", scored("url")).select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "score")
+    return rows.withColumn("score", scored("url", F.lit(FOLDS))).select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "score")
 
 
 def _threshold(spread: pd.DataFrame) -> float:
