@@ -9,6 +9,7 @@ and its length in bytes; likeness of two is the length they share over the lengt
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 WINDOW, LEAST, AIM, MOST = 8, 12, 28, 256
 #: Bits that must be zero before the aim and after it.
 BITS_BEFORE, BITS_AFTER = 5, 3
+#: Rows of a slice that passes through one task.
+SLICE_ROWS = 4_096
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 _STRICT, _LOOSE = np.uint32(((1 << BITS_BEFORE) - 1) << (32 - BITS_BEFORE)), np.uint32(((1 << BITS_AFTER) - 1) << (32 - BITS_AFTER))
 
@@ -133,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     # order: ids downward, then ties upward; nulls as the smallest id
     order = rows.withColumn("o", F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")))
-    n = slices or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = slices or max(8, -(-order.count() // SLICE_ROWS))
     bounds = _bounds(order, n)
     if not bounds:
         return spark.createDataFrame([], SCHEMA)
@@ -145,7 +148,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = spark.createDataFrame([(before[p], o, t) for p, (o, t) in first.items()], "slice int, o long, tie long")
     guests = order.join(F.broadcast(heads), ["o", "tie"])  # one row for each slice
     stream = placed.select("slice", F.lit(False).alias("guest"), "doc_id", "text", "o", "tie").unionByName(guests.select("slice", F.lit(True).alias("guest"), "doc_id", "text", "o", "tie"))
-    dealt = stream.repartition(n, "slice").sortWithinPartitions(F.col("slice"), F.col("guest"), F.col("o").desc(), F.col("tie"))
+    # slices follow each other, so ranges of them are partitions of even sizes where hashes of them would collide
+    dealt = stream.repartitionByRange(len(bounds), "slice").sortWithinPartitions(F.col("slice"), F.col("guest"), F.col("o").desc(), F.col("tie"))
     return dealt.select("slice", "guest", "doc_id", "text").mapInArrow(_in_order, SCHEMA)
 
 
@@ -164,10 +168,15 @@ def _bounds(order: DataFrame, n: int) -> list[tuple[int, int]]:
 
 
 def _slice(o, tie, bounds: list[tuple[int, int]]):
-    """The number of the last border at or before (o downward, tie upward)."""
-    table = F.array(*[F.struct(F.lit(-(a + 1)).cast("long").alias("o"), F.lit(b).cast("long").alias("t")) for a, b in bounds])
+    """The number of the last border at or before (o downward, tie upward), looked up in two steps."""
     own = F.struct((-(o + 1)).alias("o"), tie.alias("t"))
-    return F.size(F.filter(table, lambda b: b <= own)).cast("int")
+    step = math.isqrt(len(bounds)) + 1
+
+    def listed(some: list[tuple[int, int]]):
+        return F.array(*[F.struct(F.lit(-(a + 1)).cast("long").alias("o"), F.lit(b).cast("long").alias("t")) for a, b in some])
+
+    coarse = (F.size(F.filter(listed(bounds[::step]), lambda b: b <= own)) - 1) * step
+    return (coarse + F.size(F.filter(F.slice(listed(bounds), coarse + 1, step), lambda b: b <= own))).cast("int")
 
 
 def _heads(keys: DataFrame, bounds: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
