@@ -51,12 +51,29 @@ def blank(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, out: str, buckets: int = 64) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, key: str, most: int) -> DataFrame:
+    """rows joined with one(key, n, ...), which has one row for each key and the key's number of rows there, of `most` in all.
+
+    Keys of over a HOT_SHARE-th of all rows are at most HOT_SHARE many, so they are broadcast and their rows stay where
+    they are; no task gets a hot key whole. The rest is joined by key.
+    """
+    hot = F.broadcast(one.filter(F.col("n") > most / HOT_SHARE).drop("n"))  # at most HOT_SHARE rows
+    cold = one.filter(F.col("n") <= most / HOT_SHARE).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+#: A key is hot from this share of all rows on.
+HOT_SHARE = 1_000
+
+
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, out: str, bucket_rows: int = 100_000) -> DataFrame:
     """Number the rows of each key from 0 without bringing a key's rows into one task.
 
-    Rows are dealt over `buckets` by the column `salt`; a small count per (key, bucket) gives each bucket its
-    first number, and rows are numbered within their bucket by `order`. df should be materialised: it is read twice.
+    Rows are dealt by the column `salt` over so many buckets that one holds some `bucket_rows` rows even if a key has all;
+    a small count per (key, bucket) gives each bucket its first number, and rows are numbered within their bucket by
+    `order`. df should be materialised: it is read three times.
     """
+    buckets = max(64, -(-df.count() // bucket_rows))
     dealt = df.withColumn("__b", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 #: Tenths of a line's tokens that an open field may hold, and the most fields that this gives a line of any length.
 OPEN_TENTHS, FIELDS = 3, 5
-#: A template is hot from this share of all filed rows on; so there are at most as many hot ones.
-HOT = 1_000
 
 
 def _templates(line: Column) -> Column:
@@ -59,11 +57,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = filed.select("doc", "text_hash", "pos", F.explode("keys").alias("key"))
     seen = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     seen = materialise(seen.filter("first <> last").select("key", "first", "n"))
-    # at most HOT templates have so many rows each; their rows stay where they are
     most = filed.agg(F.sum(F.size("keys"))).first()[0] or 0
-    hot = F.broadcast(seen.filter(F.col("n") > most / HOT).select("key", "first"))
-    cold = keyed.join(hot.select("key"), "key", "left_anti").join(seen.filter(F.col("n") <= most / HOT).select("key", "first"), "key")
-    hits = keyed.join(hot, "key").unionByName(cold).filter("doc <> first")
+    hits = hot_join(keyed, seen, "key", most).filter("doc <> first")
     return hits.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, components, materialise
+from .common import blank, components, hot_join, materialise
 from .shingles import Shingler, mix
 
 RING = 1 << 20
@@ -151,8 +151,8 @@ def near_duplicates(
     filed = some.select("cls", "id", F.explode("keys").alias("key")).groupBy("key", "cls").agg(F.min("id").alias("owner"))
     # null owners (null ids) come last
     rank = F.struct(F.coalesce("owner", F.lit(2**63 - 1)).alias("o"), F.col("cls").alias("c"))
-    centre = filed.groupBy("key").agg(F.min(rank)["c"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
-    filed = materialise(filed.join(centre, "key"))
+    centre = filed.groupBy("key").agg(F.min(rank)["c"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    filed = materialise(hot_join(filed, centre, "key", sketch.count() * bands))
     ids = filed.groupBy("cls").agg(F.min("owner").alias("__id"))
     texts = plain.join(ids.select("__id").distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     sets = materialise(_sets(texts, size).join(ids.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")))
@@ -196,7 +196,7 @@ def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _split(labelled: DataFrame) -> DataFrame:
     """Rows of buckets with several components, without sets for which no other of the bucket is small or large enough."""
-    ends = labelled.groupBy("key").agg(F.min("n").alias("__least"), F.max("most").alias("__most"), F.min("root").alias("__lo"), F.max("root").alias("__hi"))
+    ends = labelled.groupBy("key").agg(F.min("n").alias("__least"), F.max("most").alias("__most"), F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("size"))
     near = labelled.join(ends.filter("__lo <> __hi"), "key").filter("most >= __least AND n <= __most")
     return near.drop("__least", "__most", "__lo", "__hi")
 
@@ -211,6 +211,8 @@ def _to_centres(labelled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 #: Sizes of sets fall into classes of this ratio.
 STEP = 1.02
+#: Sets of a part of a bucket.
+SALTED = 500
 
 
 def _across(labelled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -221,8 +223,12 @@ def _across(labelled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """
     near, low = _split(labelled), threshold[0] / threshold[1]
     of = lambda n: F.floor(F.log(n) / math.log(STEP)).cast("int")
-    small = near.select("key", of(F.col("n")).alias("step"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("most").alias("a_most"), F.col("root").alias("a_root"))
+    small = near.select("key", of(F.col("n")).alias("step"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("most").alias("a_most"), F.col("root").alias("a_root"), F.floor(F.col("size") / SALTED).cast("int").alias("salts"))
     largest = F.least("n", "most")
-    large = near.withColumn("low", F.least(F.col("n") * low, largest)).filter(largest > 0).withColumn("step", F.explode(F.sequence(of(F.greatest(F.ceil("low"), F.lit(1))), of(largest)))).select("key", "step", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("most").alias("b_most"), F.col("root").alias("b_root"))
-    hit = small.join(large, ["key", "step"]).filter("an <= bn AND a <> b AND a_root <> b_root AND an <= b_most AND bn <= a_most")
+    # a bucket of many sets is met in parts of SALTED: each smaller set lies in one, each larger one asks them all
+    salts = F.floor(F.col("size") / SALTED).cast("int")
+    small = small.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1).cast("int")).drop("salts")
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    large = near.withColumn("low", F.least(F.col("n") * low, largest)).filter(largest > 0).withColumn("step", F.explode(F.sequence(of(F.greatest(F.ceil("low"), F.lit(1))), of(largest)))).select("key", "step", "salt", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("most").alias("b_most"), F.col("root").alias("b_root"))
+    hit = small.join(large, ["key", "step", "salt"]).filter("an <= bn AND a <> b AND a_root <> b_root AND an <= b_most AND bn <= a_most")
     return hit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -28,7 +28,8 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
     """Shard documents by the law `key`: the id and the number of shards decide, nothing else.
 
-    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in its shard, by id) and
+    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in its shard, by a hash
+    of id and row, then by id) and
     grown_shard (with one more shard). Null ids are one key of their own; null texts have size 1 and the checksum of
     the empty text; rows with one id share a shard, and so equal texts share one only if their ids do. Repeated rows
     each get a slot. Other columns are not read. A shard's rows are numbered over many tasks, see gapless_rank.
