@@ -56,16 +56,16 @@ def description(qualified: Column, name: Column, kind: Column, file: Column, doc
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)$", 1)
+    return F.regexp_extract(path, r"([^/]*)\z", 1)
 
 
 def extension(path: Column) -> Column:
     """Lower-cased, with its dot; empty without one."""
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1))
 
 
 #: Languages by extension.
@@ -90,15 +90,40 @@ def folded(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-#: What counts as a decision in source code.
-DECISIONS = ("if ", "if(", "for ", "for(", "while ", "while(", "case ", "catch ", "catch(", "elif ", "&&", "||", "?")
+#: Texts that count as a decision each time they come up, also inside each other, and more of them by language.
+DECISIONS = (
+    "if ", "if(", "else if", "elif ", "elif(", "for ", "for(", "while ", "while(", "switch ", "switch(", "case ", "catch ", "catch(",
+    "except ", "except(", "&&", "||", "and ", "or ", "?",
+)
+MORE_DECISIONS = {"go": ("select ", "select{"), "rust": ("match ", "match{", "loop "), "python": ("for ", "in ")}
+#: Beginnings of lines that open a control structure, and of those that are its other branches.
+CONTROL = ("if ", "if(", "for ", "for(", "while ", "while(", "switch ", "switch(", "try ", "try{", "catch ", "catch(", "except ", "except(", "loop ", "loop{", "select ", "select{")
+BRANCHES = ("else ", "else{", "else if", "elif ", "elif(", "except ", "except(", "case ", "default ")
+LOGICAL = ("&&", "||", "and ", "or ")
+#: Operators of one and two signs, and words that count as operators.
+PAIRS = ("++", "--", "==", "!=", "<=", ">=", "&&", "||", "+=", "-=", "*=", "/=", "->", "=>", "::", "<<", ">>")
+OPERATOR_WORDS = (
+    "if", "else", "for", "while", "do", "switch", "case", "default", "break", "continue", "return", "throw", "try", "catch", "finally", "new", "delete", "typeof", "instanceof", "in", "of",
+    "go", "defer", "chan", "select", "range", "make", "append", "len", "let", "mut", "match", "loop", "unsafe", "async", "await",
+)
 
 
-def cyclomatic(code: Column) -> Column:
+def bare(line: Column) -> Column:
+    """A line without white space around it."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def starts_with_any(line: Column, heads: tuple[str, ...]) -> Column:
+    return line.rlike("^(" + "|".join(re.escape(h) for h in heads) + ")")
+
+
+def cyclomatic(code: Column, language: Column) -> Column:
     """One more than the decisions in the code."""
     out = F.lit(1)
     for part in DECISIONS:
         out = out + occurrences(code, part)
+    for lang, parts in MORE_DECISIONS.items():
+        out = out + F.when(language == lang, sum((occurrences(code, p) for p in parts), F.lit(0))).otherwise(0)
     return out
 
 
@@ -106,39 +131,54 @@ def code_lines(code: Column) -> Column:
     """Lines that are neither blank nor comment (//, #, -- and /* */ over lines)."""
 
     def step(acc: Column, line: Column) -> Column:
-        bare = F.trim(line)
-        opens, closes = bare.startswith("/*"), bare.contains("*/")
-        counted = ~acc["inside"] & ~opens & (bare != "") & ~bare.rlike("^(//|#|--)")
+        opens, closes = line.startswith("/*"), line.contains("*/")
+        counted = ~acc["inside"] & ~opens & (line != "") & ~line.rlike("^(//|#|--)")
         return F.struct((acc["n"] + counted.cast("int")).alias("n"), ((acc["inside"] | opens) & ~closes).alias("inside"))
 
-    return F.aggregate(F.split(code, "\n"), F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), step, lambda acc: acc["n"])
+    return F.aggregate(F.transform(F.split(code, "\n"), bare), F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), step, lambda acc: acc["n"])
 
 
-def nesting(code: Column) -> Column:
-    """The greatest depth of braces."""
-    signs = F.regexp_extract_all(code, F.lit("([{}])"), 1)
+def nesting(code: Column, language: Column) -> Column:
+    """The greatest depth of braces outside comment lines, or in Python of four blanks of indent."""
+    lines = F.filter(F.split(code, "\n"), lambda s: ~bare(s).rlike(r"^(//|#|/\*)"))
+    signs = F.regexp_extract_all(F.array_join(lines, ""), F.lit("([{}])"), 1)
 
     def step(acc: Column, s: Column) -> Column:
         now = F.greatest(acc["now"] + F.when(s == "{", 1).otherwise(-1), F.lit(0))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+    braces = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+    indents = F.coalesce(F.array_max(F.transform(lines, lambda s: F.floor(F.length(F.regexp_extract(s, r"^([ \t]*)", 1)) / 4).cast("int"))), F.lit(0))
+    return F.when(language == "python", F.greatest(braces, indents)).otherwise(braces)
 
 
 def cognitive(code: Column) -> Column:
-    """Each line that starts a decision adds one and its depth of braces."""
+    """A control structure adds one and the depth it stands in, another branch and each logical operator one."""
 
     def step(acc: Column, line: Column) -> Column:
-        depth = F.greatest(acc["depth"] - occurrences(line, "}"), F.lit(0))
-        hit = F.trim(line).rlike(r"^(\} *)?(else if|if|for|while|switch|catch|elif)\b")
-        return F.struct((acc["sum"] + F.when(hit, 1 + depth).otherwise(0)).alias("sum"), (depth + occurrences(line, "{")).alias("depth"))
+        opens = starts_with_any(line, CONTROL).cast("int")
+        more = starts_with_any(line, BRANCHES).cast("int") + sum((occurrences(line, op) for op in LOGICAL), F.lit(0))
+        total = acc["sum"] + opens * (1 + acc["depth"]) + more
+        return F.struct(total.cast("int").alias("sum"), F.greatest(acc["depth"] + opens - line.endswith("}").cast("int"), F.lit(0)).alias("depth"))
 
-    return F.aggregate(F.split(code, "\n"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("depth")), step, lambda acc: acc["sum"])
+    return F.aggregate(F.transform(F.split(code, "\n"), bare), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("depth")), step, lambda acc: acc["sum"])
+
+
+_WORD = r"""[^\s+\-*/%=!<>&|^~:()\[\]{},;"'`]+"""
+_TEXT = "|".join(rf"{q}.*?(?:(?<!\\){q}|\z)" for q in "\"'`")
+#: Comments go; else the whole next token is seen ahead, and of two signs that are one operator only the first is passed.
+_TOKENS = rf"(?s)//[^\n]*|/\*[^\n]*|(?=({_TEXT}|{'|'.join(map(re.escape, PAIRS))}|[-+*/%=!<>&|^~:()\[\]{{}},;]|{_WORD}))(?:{_TEXT}|[-+*/%=!<>&|^~:()\[\]{{}},;]|{_WORD})"
 
 
 def halstead(code: Column) -> Column:
-    """volume, difficulty, effort, time, bugs from operators and operands (words and numbers)."""
-    operands, operators = F.regexp_extract_all(code, F.lit(r"(\w+)"), 1), F.regexp_extract_all(code, F.lit(r"([^\w\s]+)"), 1)
+    """volume, difficulty, effort, time, bugs from operators (signs and words) and operands (other words, numbers, texts).
+
+    A second sign counts once as part of an operator of two and once more as what it begins.
+    """
+    tokens = F.filter(F.regexp_extract_all(code, F.lit(_TOKENS), 1), lambda t: t != "")
+    is_operator = lambda t: t.isin(".", *OPERATOR_WORDS) | t.rlike(r"^[-+*/%=!<>&|^~:()\[\]{},;]")
+    operators = F.filter(tokens, is_operator)
+    operands = F.filter(tokens, lambda t: ~is_operator(t) & t.rlike(r"""^[\p{L}_\p{Nd}"'`]"""))
     n1, n2, all1, all2 = (F.size(F.array_distinct(operators)), F.size(F.array_distinct(operands)), F.size(operators), F.size(operands))
     volume = F.when(n1 + n2 > 0, (all1 + all2) * F.log2(n1 + n2)).otherwise(0.0)
     difficulty = F.when(n2 > 0, n1 / 2 * (all2 / n2)).otherwise(0.0)
@@ -147,11 +187,36 @@ def halstead(code: Column) -> Column:
 
 
 def mutation(code: Column) -> Column:
-    """The kind of change that a statement makes to a variable, or null."""
-    out = F.lit(None).cast("string")
-    for sign, name in reversed([("++", "increment"), ("--", "decrement"), ("+=", "add"), ("-=", "subtract"), ("*=", "multiply"), ("/=", "divide")]):
-        out = F.when(code.contains(sign), name).otherwise(out)
-    return out
+    """The kind of change that a statement makes to a variable."""
+    has = code.contains
+    return F.when(has("++") | has("+="), "increment").when(has("--") | has("-="), "decrement").when(has("*="), "multiply").when(has("/="), "divide").otherwise("unknown")
+
+
+def identifiers(code: Column) -> Column:
+    """Words of letters, digits and underscores that begin with no digit, in order."""
+    return F.filter(F.regexp_extract_all(code, F.lit("([A-Za-z0-9_]+)"), 1), lambda w: ~w.rlike("^[0-9]"))
+
+
+def source_text(code: Column) -> Column:
+    """What follows the first = of an assignment; empty without one."""
+    return F.regexp_extract(code, r"(?s)^[^=]*=(.+)\z", 1)
+
+
+def call_arguments(code: Column) -> Column:
+    """The arguments of the first call, parted at commas outside inner brackets; empty parts go."""
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
+        starts, ends = (acc["depth"] == 0) & (c == "("), (depth == 0) & (c == ")") & ~acc["done"]
+        parts = (c == ",") & (acc["depth"] == 1) | ends
+        inside = (acc["depth"] > 0) & ~acc["done"]
+        out = F.when(inside & parts & (acc["now"] != ""), F.array_append(acc["out"], F.trim(acc["now"]))).otherwise(acc["out"])
+        now = F.when(~inside | parts, "").otherwise(F.concat(acc["now"], c))
+        # before the call, other brackets don't count
+        return F.struct(F.when((acc["depth"] == 0) & ~starts, 0).otherwise(F.greatest(depth, F.lit(0))).alias("depth"), (acc["done"] | inside & ends).alias("done"), now.alias("now"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.split(code, ""), start, step, lambda acc: F.when(acc["done"], acc["out"]).otherwise(F.array().cast("array<string>")))
 
 
 def cosine(a: Column, b: Column) -> Column:

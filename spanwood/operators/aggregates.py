@@ -80,9 +80,9 @@ def embedding_status(nodes: DataFrame, vectors: DataFrame, key: str) -> DataFram
     return j.agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("embedded"), (F.count(F.lit(1)) - F.count("hit")).alias("pending"))
 
 
-def ids_by(df: DataFrame, key: str) -> DataFrame:
-    """Sorted ids of each group as text; for groups that fit in a row."""
-    return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+def ids_by(df: DataFrame, key: str, part: Column) -> DataFrame:
+    """Sorted ids of each group as text, a row for each part of the group, so that no row grows with the group."""
+    return df.groupBy(key, part.alias("__part")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).select(key, "ids")
 
 
 def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:

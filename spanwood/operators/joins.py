@@ -94,15 +94,49 @@ def indexed_edges(edges: DataFrame, blocks: DataFrame, owner: str, order: list[s
     return edges.join(a, "source_id").join(b, "target_id").filter(F.col(owner) == F.col("__o")).select(owner, "from_idx", "to_idx", "kind")
 
 
+def _first_of(nodes: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """(keys, ids): the first `most` ids of each key; the limit is applied before the shuffle too, however common a key is."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = nodes.withColumn("__k", turn).filter(F.col("__k") <= most)
+    return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+#: Lines of a block that ranges and places are filed under.
+BLOCK = 64
+
+
 def enclosing(calls: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     """For each call (call_id, group, at) the node around its line: a function or method if any, the earliest first.
 
-    An equi-join on the group (a file, say) with the range as a further condition.
+    Ranges are filed under the blocks of lines that they touch. The distinct places of calls find their first two nodes
+    there, by an equi-join of group and block; calls then take their place's first one that isn't themselves.
     """
     n = nodes.filter(F.col("kind").isin("function", "method", "class", "interface", "struct")).select(group, "id", "kind", "line", "end_line")
-    hit = calls.join(n, group).filter((F.col("line") <= F.col("at")) & ((F.col("end_line") == 0) | (F.col("end_line") >= F.col("at"))) & (F.col("id") != F.col("call_id")))
-    order = F.struct(F.when(F.col("kind").isin("function", "method"), 0).otherwise(1), "line", "id")
-    return hit.groupBy("call_id").agg(F.min_by("id", order).alias("enclosing"))
+    places = calls.select(group, "at").distinct().withColumn("__block", F.floor(F.col("at") / BLOCK))
+    # a node without an end reaches to the last place of its group
+    last = places.groupBy(group).agg(F.max("at").alias("__last"))
+    n = n.join(last, group).withColumn("__end", F.when(F.col("end_line") == 0, F.col("__last")).otherwise(F.least("end_line", "__last"))).filter("line <= __end")
+    n = n.withColumn("__block", F.explode(F.sequence(F.floor(F.col("line") / BLOCK), F.floor(F.col("__end") / BLOCK))))
+    hit = places.join(n, [group, "__block"]).filter((F.col("line") <= F.col("at")) & (F.col("__end") >= F.col("at")))
+    first = _first_of(hit, [group, "at"], [F.when(F.col("kind").isin("function", "method"), 0).otherwise(1), F.col("line"), F.col("id")], 2)
+    found = calls.join(first, [group, "at"]).select("call_id", F.get(F.filter("ids", lambda x: x != F.col("call_id")), F.lit(0)).alias("enclosing"))
+    return found.filter("enclosing IS NOT NULL")
+
+
+def _candidates(refs: DataFrame, nodes: DataFrame, own: str, tiers: list[tuple[list[str], Column | None]], most: int) -> DataFrame:
+    """refs with `tier` (from 1) and `ids`: of the first tier, a list of keys and a condition on nodes, that has other nodes.
+
+    Each tier's nodes are cut to the first few ids of a key before the join, so no name makes pairs of all its nodes.
+    """
+    out = refs
+    for k, (keys, where) in enumerate(tiers):
+        found = _first_of(nodes if where is None else nodes.filter(where), keys, [F.col("id")], most + 1).withColumnRenamed("ids", f"__t{k}")
+        out = out.join(found, keys, "left").withColumn(f"__t{k}", F.slice(F.filter(f"__t{k}", lambda x: x != F.col(own)), 1, most))
+    tier, ids = F.lit(None).cast("int"), F.lit(None).cast("array<long>")
+    for k in reversed(range(len(tiers))):
+        there = F.coalesce(F.size(f"__t{k}") > 0, F.lit(False))
+        tier, ids = F.when(there, k + 1).otherwise(tier), F.when(there, F.col(f"__t{k}")).otherwise(ids)
+    return out.select(*refs.columns, tier.alias("tier"), ids.alias("ids")).filter("tier IS NOT NULL")
 
 
 def resolve_names(calls: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:
@@ -110,19 +144,16 @@ def resolve_names(calls: DataFrame, nodes: DataFrame, most: int = 3) -> DataFram
 
     Tiers: same file, same scope, exported, anything else.
     """
-    n = nodes.select("name", F.col("id").alias("target"), F.col("file").alias("f"), F.col("scope").alias("s"), "exported")
-    tier = F.when(F.col("f") == F.col("file"), 1).when(F.col("s") == F.col("scope"), 2).when(F.col("exported"), 3).otherwise(4)
-    hit = calls.join(n, "name").filter("target <> call_id").withColumn("tier", tier)
-    ranked = hit.withColumn("k", F.row_number().over(Window.partitionBy("call_id").orderBy("tier", "target"))).withColumn("m", F.min("tier").over(Window.partitionBy("call_id")))
+    tiers = [(["name", "file"], None), (["name", "scope"], None), (["name"], F.col("exported")), (["name"], None)]
+    found = _candidates(calls, nodes, "call_id", tiers, most)
     sure = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.9).when(F.col("tier") == 3, 0.7).otherwise(0.5)
-    return ranked.filter((F.col("tier") == F.col("m")) & (F.col("k") <= most)).select("call_id", "target", "tier", sure.alias("confidence"))
+    return found.select("call_id", F.explode("ids").alias("target"), "tier", sure.alias("confidence"))
 
 
 def best_match(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each reference (id, name, file, scope) one node of its name: of its file, else of its scope, else any."""
-    n = nodes.select("name", F.col("id").alias("t"), F.col("file").alias("f"), F.col("scope").alias("s"))
-    tier = F.when(F.col("f") == F.col("file"), 0).when(F.col("s") == F.col("scope"), 1).otherwise(2)
-    return refs.join(n, "name").filter("t <> id").groupBy("id").agg(F.min_by("t", F.struct(tier, "t")).alias("best"))
+    found = _candidates(refs.withColumnRenamed("id", "__ref"), nodes, "__ref", [(["name", "file"], None), (["name", "scope"], None), (["name"], None)], 1)
+    return found.select(F.col("__ref").alias("id"), F.col("ids")[0].alias("best"))
 
 
 def by_suffix(wants: DataFrame, files: DataFrame) -> DataFrame:

@@ -99,8 +99,15 @@ def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels(nodes, edges).agg((F.count(F.lit(1)) == F.count("level")).alias("is_dag"))
 
 
+#: Rounds of a rank computation between two writes.
+WRITTEN = 1
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> DataFrame:
-    """(id, rank): equal start, mass of nodes without a way out spread evenly, parallel edges counted; ranks add up to 1."""
+    """(id, rank): equal start, mass of nodes without a way out spread evenly, parallel edges counted; ranks add up to 1.
+
+    WRITTEN rounds make one plan, whose result is written: the mass without a way out is a one-row aggregate in it.
+    """
     ids = cut(_ids(nodes))
     n = max(ids.count(), 1)
     ends = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
@@ -108,11 +115,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     outs = ends.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
     ways = cut(ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(outs, "src").select("src", "dst", (F.col("w") / F.col("outs")).alias("share")))
     ranks = cut(ids.join(outs.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"), F.lit(1.0 / n).alias("rank")))
-    for _ in range(rounds):
-        loose = ranks.filter("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    for k in range(rounds):
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0)).alias("all_loose"))
         came = ways.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        new = (1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + loose / n)
-        ranks = cut(ranks.select("node", "loose").join(came, "node", "left").select("node", "loose", new.alias("rank")))
+        new = (1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.col("all_loose") / n)
+        ranks = ranks.select("node", "loose").join(came, "node", "left").crossJoin(F.broadcast(loose)).select("node", "loose", new.alias("rank"))  # one row
+        if (k + 1) % WRITTEN == 0:
+            ranks = cut(ranks)
     return ranks.select(F.col("node").alias("id"), "rank")
 
 

@@ -134,9 +134,30 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return walk(cut(arrows(edges)), start).filter("depth > 0").select(F.col("root").alias("source"), F.col("node").alias("target"), F.col("depth").alias("distance"))
 
 
-def path_lengths(pairs: DataFrame) -> DataFrame:
-    """Diameter and average length of distances()."""
-    return pairs.agg(F.coalesce(F.max("distance"), F.lit(0)).alias("diameter"), F.round(F.coalesce(F.avg("distance"), F.lit(0.0)), 8).alias("average_path"))
+def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(distance, pairs): how many ordered pairs of nodes are at each finite distance above 0.
+
+    Each node carries bitmaps of the nodes that reach it, one for each block of 32 768 source ids that has any; a round
+    is one join with the edges and one union of bitmaps, so pairs are bits and no row is made for a pair.
+    """
+    ways = cut(arrows(edges).filter("src <> dst"))
+    state = cut(nodes.select(F.col("id").alias("node")).distinct().groupBy("node", F.bitmap_bucket_number("node").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node")).alias("from")))
+    counts, known, distance = [], state.count(), 0
+    while True:
+        onward = state.join(ways, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "block", "from")
+        state = cut(state.unionByName(onward).groupBy("node", "block").agg(F.bitmap_or_agg("from").alias("from")))
+        now = state.agg(F.coalesce(F.sum(F.bitmap_count("from")), F.lit(0))).first()[0]
+        if now == known:
+            return nodes.sparkSession.createDataFrame(counts, "distance int, pairs long")  # one row for each distance
+        distance += 1
+        counts.append((distance, now - known))
+        known = now
+
+
+def path_lengths(counts: DataFrame) -> DataFrame:
+    """Diameter and average length of path_counts()."""
+    average = F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")
+    return counts.agg(F.coalesce(F.max("distance"), F.lit(0)).alias("diameter"), F.round(F.coalesce(average, F.lit(0.0)), 8).alias("average_path"))
 
 
 def processes(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, branching: int = 4, least_steps: int = 3, most: int = 75) -> DataFrame:

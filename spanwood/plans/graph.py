@@ -120,9 +120,9 @@ def gr14_topological_levels(spark: Spark, d: str) -> DataFrame:
     return S.levels(V.nodes(spark, d), V.edges(spark, d).filter(_INHERIT))
 
 
-@query(_REACH.format("true").replace("g_edges WHERE true", "g_edges WHERE source_id < target_id") + " SELECT count(*) = 0 is_dag FROM r WHERE a = b")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT source_id s, target_id t FROM g_edges), r(a, b) USING KEY (a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b LEFT JOIN recurring.r x ON x.a = r.a AND x.b = e.t WHERE x.a IS NULL) SELECT count(*) = 0 is_dag FROM r WHERE a = b")
 def gr14_is_dag(spark: Spark, d: str) -> DataFrame:
-    return S.is_dag(V.nodes(spark, d), V.edges(spark, d).filter("source_id < target_id"))
+    return S.is_dag(V.nodes(spark, d), V.edges(spark, d))
 
 
 @query("WITH RECURSIVE e AS (SELECT source_id s, target_id t FROM g_edges UNION SELECT target_id, source_id FROM g_edges), r(a, b) AS (SELECT id, id FROM g_nodes WHERE id NOT IN (SELECT s FROM e) UNION SELECT s, s FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b WHERE e.t < r.a OR r.b > r.a OR e.t > r.a) SELECT a id, min(b) component FROM r GROUP BY a")
@@ -148,21 +148,21 @@ def gr17_shortest_distances(spark: Spark, d: str) -> DataFrame:
     return V.nodes(spark, d).select("id").join(met, "id", "left").select("id", F.coalesce(F.col("depth").cast("double"), F.lit(float("inf"))).alias("distance"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT DISTINCT source_id s, target_id t FROM g_edges WHERE {_INHERIT}), r(a, b, n) AS (SELECT s, t, 1 FROM e UNION SELECT r.a, e.t, n + 1 FROM r JOIN e ON e.s = r.b WHERE n < 60), p AS (SELECT a, b, min(n) n FROM r WHERE a <> b GROUP BY a, b) SELECT CAST(coalesce(max(n), 0) AS INTEGER) diameter, round(coalesce(avg(n), 0.0), 8) average_path FROM p")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT source_id s, target_id t FROM g_edges), r(a, b, n) USING KEY (a, b) AS (SELECT s, t, 1 FROM e UNION SELECT r.a, e.t, r.n + 1 FROM r JOIN e ON e.s = r.b LEFT JOIN recurring.r x ON x.a = r.a AND x.b = e.t WHERE x.n IS NULL), p AS (SELECT a, b, n FROM r WHERE a <> b) SELECT CAST(coalesce(max(n), 0) AS INTEGER) diameter, round(coalesce(avg(n), 0.0), 8) average_path FROM p")
 def gr18_path_lengths(spark: Spark, d: str) -> DataFrame:
-    return T.path_lengths(T.distances(V.edges(spark, d).filter(_INHERIT), V.nodes(spark, d)))
+    return T.path_lengths(T.path_counts(V.nodes(spark, d), V.edges(spark, d)))
 
 
 def _ranks(rounds: int) -> str:
     ctes = ["n AS (SELECT count(*)::DOUBLE n FROM g_nodes)", "o AS (SELECT source_id s, count(*)::DOUBLE o FROM g_dense GROUP BY 1)", "p0 AS (SELECT id, 1 / n r FROM g_nodes, n)"]
     for k in range(rounds):
-        ctes.append(f"l{k} AS (SELECT coalesce(sum(r), 0) x FROM p{k} WHERE id NOT IN (SELECT s FROM o)), c{k} AS (SELECT target_id t, sum(r / o) x FROM g_dense JOIN p{k} ON p{k}.id = source_id JOIN o ON s = source_id GROUP BY 1), p{k + 1} AS (SELECT id, 0.15 / n + 0.85 * (coalesce(c{k}.x, 0) + l{k}.x / n) r FROM g_nodes LEFT JOIN c{k} ON t = id, n, l{k})")
+        ctes.append(f"l{k} AS MATERIALIZED (SELECT coalesce(sum(r), 0) x FROM p{k} WHERE id NOT IN (SELECT s FROM o)), c{k} AS MATERIALIZED (SELECT target_id t, sum(r / o) x FROM g_dense JOIN p{k} ON p{k}.id = source_id JOIN o ON s = source_id GROUP BY 1), p{k + 1} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * (coalesce(c{k}.x, 0) + l{k}.x / n) r FROM g_nodes LEFT JOIN c{k} ON t = id, n, l{k})")
     return "WITH " + ", ".join(ctes) + f" SELECT id, round(r, 10) AS rank FROM p{rounds}"
 
 
-@query(_ranks(6))
+@query(_ranks(50))
 def gr19_pagerank(spark: Spark, d: str) -> DataFrame:
-    return S.pagerank(V.nodes(spark, d), V.dense_edges(spark, d), rounds=6).select("id", F.round("rank", 10).alias("rank"))
+    return S.pagerank(V.nodes(spark, d), V.dense_edges(spark, d)).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query("WITH n AS (SELECT count(*) - 1 n FROM g_nodes), e AS (SELECT source_id x FROM g_dense UNION ALL SELECT target_id FROM g_dense) SELECT id, round(count(x) / any_value(n)::DOUBLE, 10) centrality FROM n, g_nodes LEFT JOIN e ON x = id GROUP BY id")

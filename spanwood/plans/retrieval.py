@@ -179,33 +179,70 @@ def fn11_hashes(spark: Spark, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"), F.substring(F.sha2("text", 256), 1, 16).alias("short"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) dir, regexp_extract(url, '([^/]*)$', 1) base, lower(regexp_extract(url, '(\.[^./]*)$', 1)) ext FROM pages WHERE NOT contains(url, chr(10))")
+@query(r"SELECT page_id, regexp_extract(url, '(?s)^(.*)/[^/]*$', 1) dir, regexp_extract(url, '([^/]*)$', 1) base, lower(regexp_extract(url, '(\.[^./]*)$', 1)) ext FROM pages")
 def fn12_paths(spark: Spark, d: str) -> DataFrame:
-    return V.table(spark, d, "pages").filter("NOT contains(url, '\n')").select("page_id", X.directory(F.col("url")).alias("dir"), X.basename(F.col("url")).alias("base"), X.extension(F.col("url")).alias("ext"))
+    return V.table(spark, d, "pages").select("page_id", X.directory(F.col("url")).alias("dir"), X.basename(F.col("url")).alias("base"), X.extension(F.col("url")).alias("ext"))
 
 
-def _occ(parts) -> str:
-    return " + ".join(f"(length(c) - length(replace(c, '{p}', ''))) // {len(p)}" for p in parts)
+_LANG = "CASE page_id % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'rust' WHEN 2 THEN 'python' ELSE 'java' END lang"
 
 
-@query(f"SELECT id, CAST(1 + {_occ(X.DECISIONS)} AS INTEGER) cyclomatic FROM ({_CODE})")
+def _code_with_language(spark: Spark, d: str) -> DataFrame:
+    return V.table(spark, d, "pages").selectExpr("page_id AS id", "coalesce(html, '') AS c", _LANG.replace(" END lang", " END AS lang"))
+
+
+def _occ(parts, text: str = "c") -> str:
+    return " + ".join(f"(length({text}) - length(replace({text}, '{p}', ''))) // {len(p)}" for p in parts)
+
+
+# the checks' own word lists, kept apart from those of the functions
+_DECIDING = ["if ", "if(", "else if", "elif ", "elif(", "for ", "for(", "while ", "while(", "switch ", "switch(", "case ", "catch ", "catch(", "except ", "except(", "&&", "||", "and ", "or ", "?"]
+
+
+@query(f"""SELECT id, CAST(1 + {_occ(_DECIDING)} + CASE lang WHEN 'go' THEN {_occ(["select ", "select{"])} WHEN 'rust' THEN {_occ(["match ", "match{", "loop "])} WHEN 'python' THEN {_occ(["for ", "in "])} ELSE 0 END AS INTEGER) cyclomatic
+  FROM (SELECT page_id id, coalesce(html, '') c, {_LANG} FROM pages)""")
 def fn14_cyclomatic(spark: Spark, d: str) -> DataFrame:
-    return _code(spark, d).select("id", X.cyclomatic(F.col("c")).alias("cyclomatic"))
+    return _code_with_language(spark, d).select("id", X.cyclomatic(F.col("c"), F.col("lang")).alias("cyclomatic"))
 
 
-@query()
+_BARE = r"list_transform(string_split(c, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g'))"
+_OPENS = r"'^(if |if\(|for |for\(|while |while\(|switch |switch\(|try |try\{|catch |catch\(|except |except\(|loop |loop\{|select |select\{)'"
+_ELSES = r"'^(else |else\{|else if|elif |elif\(|except |except\(|case |default )'"
+
+
+@query(rf"""WITH p AS (SELECT page_id id, coalesce(html, '') c, {_LANG} FROM pages), b AS (SELECT id, lang, {_BARE} l, list_filter(string_split(c, chr(10)), lambda s: NOT regexp_matches(s, '^\s*(//|#|/\*)')) o FROM p)
+  SELECT id, list_reduce(list_transform(l, lambda s: {{'n': 0, 'open': starts_with(s, '/*'), 'close': contains(s, '*/'), 'plain': s <> '' AND NOT regexp_matches(s, '^(//|#|--)'), 'in': false}}), lambda a, x: {{'n': a.n + CASE WHEN NOT a.in AND NOT x.open AND x.plain THEN 1 ELSE 0 END, 'open': false, 'close': false, 'plain': false, 'in': (a.in OR x.open) AND NOT x.close}}, {{'n': 0, 'open': false, 'close': false, 'plain': false, 'in': false}}).n "lines",
+    greatest(list_reduce(list_transform(regexp_extract_all(array_to_string(o, ''), '[{{}}]'), lambda s: {{'d': CASE s WHEN '{{' THEN 1 ELSE -1 END, 'm': 0}}), lambda a, x: {{'d': greatest(a.d + x.d, 0), 'm': greatest(a.m, a.d + x.d)}}, {{'d': 0, 'm': 0}}).m,
+      CASE lang WHEN 'python' THEN coalesce(list_max(list_transform(o, lambda s: CAST(length(regexp_extract(s, '^[ \t]*')) // 4 AS INTEGER))), 0) ELSE 0 END) nesting,
+    CAST(list_reduce(list_transform(l, lambda s: {{'s': 0::BIGINT, 'd': 0, 'st': regexp_matches(s, {_OPENS})::INTEGER, 'en': ends_with(s, '}}')::INTEGER, 'add': CAST(regexp_matches(s, {_ELSES})::INTEGER + {_occ(["&&", "||", "and ", "or "], "s")} AS BIGINT)}}),
+      lambda a, x: {{'s': a.s + x.add + x.st * (1 + a.d), 'd': greatest(0, a.d + x.st - x.en), 'st': 0, 'en': 0, 'add': 0::BIGINT}}, {{'s': 0::BIGINT, 'd': 0, 'st': 0, 'en': 0, 'add': 0::BIGINT}}).s AS INTEGER) cognitive FROM b""")
 def fn13_code_metrics(spark: Spark, d: str) -> DataFrame:
-    c = F.col("c")
-    return _code(spark, d).select("id", X.code_lines(c).alias("lines"), X.nesting(c).alias("nesting"), X.cognitive(c).alias("cognitive"))
+    c, lang = F.col("c"), F.col("lang")
+    return _code_with_language(spark, d).select("id", X.code_lines(c).alias("lines"), X.nesting(c, lang).alias("nesting"), X.cognitive(c).alias("cognitive"))
 
 
-@query(r"""SELECT id, round(CASE WHEN u > 0 THEN n * log2(u) ELSE 0 END, 6)::DOUBLE volume, round(CASE WHEN u2 > 0 THEN u1 / 2.0::DOUBLE * (n2 / u2::DOUBLE) ELSE 0 END, 6)::DOUBLE difficulty FROM (SELECT id, len(list_distinct(o)) u1, len(list_distinct(w)) u2, u1 + u2 u, len(o) + len(w) n, len(w) n2
-  FROM (SELECT id, regexp_extract_all(c, '([^A-Za-z0-9_ \t\n\r\f\x0b]+)', 1) o, regexp_extract_all(c, '([A-Za-z0-9_]+)', 1) w FROM (""" + _CODE + ")))")
+# texts and comments first, then signs one by one with the next, then words; good for code without backslashes
+_SKIPPED = r"""'"[^"]*(?:"|$)|''[^'']*(?:''|$)|`[^`]*(?:`|$)|//[^\n]*|/\*[^\n]*'"""
+_SIGN = "'[-+*/%=!<>&|^~:()\\[\\]{},;]'"
+_OPWORDS = "['.', 'if', 'else', 'for', 'while', 'do', 'switch', 'case', 'default', 'break', 'continue', 'return', 'throw', 'try', 'catch', 'finally', 'new', 'delete', 'typeof', 'instanceof', 'in', 'of', 'go', 'defer', 'chan', 'select', 'range', 'make', 'append', 'len', 'let', 'mut', 'match', 'loop', 'unsafe', 'async', 'await']"
+
+
+@query(rf"""WITH p AS (SELECT page_id id, regexp_extract_all(c, {_SKIPPED}) q, regexp_replace(c, {_SKIPPED}, ' ', 'g') c FROM (SELECT page_id, coalesce(html, '') c FROM pages)),
+  t AS (SELECT id, list_filter(q, lambda s: NOT starts_with(s, '/')) q, list_transform(list_filter(range(1, length(c) + 1), lambda i: regexp_matches(c[i], {_SIGN})), lambda i: CASE WHEN list_contains(['++', '--', '==', '!=', '<=', '>=', '&&', '||', '+=', '-=', '*=', '/=', '->', '=>', '::', '<<', '>>'], c[i:i + 1]) THEN c[i:i + 1] ELSE c[i] END) s,
+    regexp_extract_all(c, '[^\s+\-*/%=!<>&|^~:()\[\]{{}},;]+') w FROM p),
+  o AS (SELECT id, s || list_filter(w, lambda x: list_contains({_OPWORDS}, x)) o, q || list_filter(w, lambda x: NOT list_contains({_OPWORDS}, x) AND regexp_matches(x, '^[\p{{L}}_\p{{Nd}}]')) w FROM t),
+  u AS (SELECT id, len(list_distinct(o)) u1, len(list_distinct(w)) u2, len(o) n1, len(w) n2 FROM o)
+  SELECT id, round(CASE WHEN u1 + u2 > 0 THEN (n1 + n2) * log2(u1 + u2) ELSE 0 END, 6)::DOUBLE volume, round(CASE WHEN u2 > 0 THEN u1 / 2.0::DOUBLE * (n2 / u2::DOUBLE) ELSE 0 END, 6)::DOUBLE difficulty FROM u""")
 def fn17_halstead(spark: Spark, d: str) -> DataFrame:
     h = X.halstead(F.col("c"))
     return _code(spark, d).select("id", h.alias("h")).select("id", F.round("h.volume", 6).alias("volume"), F.round("h.difficulty", 6).alias("difficulty"))
 
 
+@query("SELECT id, CASE WHEN contains(c, '++') OR contains(c, '+=') THEN 'increment' WHEN contains(c, '--') OR contains(c, '-=') THEN 'decrement' WHEN contains(c, '*=') THEN 'multiply' WHEN contains(c, '/=') THEN 'divide' ELSE 'unknown' END mutation FROM (" + _CODE + ")")
+def fn19_mutations(spark: Spark, d: str) -> DataFrame:
+    return _code(spark, d).select("id", X.mutation(F.col("c")).alias("mutation"))
+
+
 @query()
 def fn08_chunks(spark: Spark, d: str) -> DataFrame:
     return _docs(spark, d).select("id", F.posexplode(X.chunks(F.col("text"), 100)).alias("index", "chunk"))
@@ -256,9 +293,20 @@ def sc21_source_lines(spark: Spark, d: str) -> DataFrame:
     return _docs(spark, d).select("id", I.lines_of(F.col("text"), F.lit(2), F.lit(4)).alias("code"))
 
 
-@query("SELECT doc_id id, CASE WHEN len(string_split(text, chr(10))) <= 500 THEN md5(text) END whole FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) <= 500")
+def _outline(whole: int, most: int, first: int, last: int, brief: int) -> str:
+    n, joined = "len(l)", "array_to_string({}, chr(10))"
+    cases = f"WHEN {n} <= {whole} THEN {joined.format('l')} WHEN {n} <= {most} THEN {joined.format(f'l[1:{first}] || [' + chr(39) + '...' + chr(39) + f'] || l[{n} - {last - 1}:]')} ELSE {joined.format(f'l[1:{brief}]')}"
+    return f"SELECT id, md5(CASE {cases} END) outline FROM (SELECT doc_id id, string_split(text, chr(10)) l FROM documents)"
+
+
+@query(_outline(500, 2000, 300, 200, 100))
 def sc22_outlined(spark: Spark, d: str) -> DataFrame:
-    return _docs(spark, d).filter(F.size(F.split("text", "\n")) <= 500).select("id", F.md5(I.outlined(F.col("text"))).alias("whole"))
+    return _docs(spark, d).select("id", F.md5(I.outlined(F.col("text"))).alias("outline"))
+
+
+@query(_outline(4, 9, 2, 1, 3))
+def sc22_outlined_briefly(spark: Spark, d: str) -> DataFrame:
+    return _docs(spark, d).select("id", F.md5(I.outlined(F.col("text"), 4, 9, 2, 1, 3)).alias("outline"))
 
 
 @query("SELECT 'n' || id || ' [label=\"' || name || '\"]' line FROM g_nodes UNION ALL SELECT 'n' || source_id || ' -> n' || target_id || ' [label=' || kind || ']' FROM g_edges")

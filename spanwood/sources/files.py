@@ -57,21 +57,130 @@ DEFINITIONS = (
 )
 
 
+#: By language, lines of exported definitions; in others all are.
+EXPORTED = {"python": r"^\s*(?:async\s+)?(?:def|class)\s+[^_]", "go": r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)[A-Z]", "javascript": r"^\s*export\b", "typescript": r"^\s*export\b", "rust": r"^\s*pub\b", "java": r"\bpublic\b", "csharp": r"\bpublic\b"}
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("file"), "language", F.posexplode(F.split("text", "\n")).alias("pos", "code"))
+
+
 def definitions(files: DataFrame) -> DataFrame:
-    """(file, line, kind, name) of files(path, language, text), by a pattern for each kind on each line; the first that fits counts."""
-    lines = files.select(F.col("path").alias("file"), "language", F.posexplode(F.split("text", "\n")).alias("pos", "code"))
+    """(file, line, end_line, kind, name, parent, exported, visibility) of files(path, language, text).
+
+    A pattern for each kind is tried on each line; the first that fits counts. A definition ends before the next one that
+    is indented no more; its parent is the last class before it that is indented less.
+    """
     hit = F.lit(None).cast("struct<kind:string,name:string>")
     for lang, kind, pattern in reversed(DEFINITIONS):
         name = F.regexp_extract("code", pattern, 1)
         hit = F.when((F.col("language") == lang) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(hit)
-    found = lines.select("file", (F.col("pos") + 1).alias("line"), hit.alias("hit")).filter("hit IS NOT NULL")
-    return found.select("file", "line", "hit.kind", "hit.name")
+    exported = F.lit(True)
+    for lang, pattern in EXPORTED.items():
+        exported = F.when(F.col("language") == lang, F.col("code").rlike(pattern)).otherwise(exported)
+    indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
+    sized = files.withColumn("total", F.size(F.split("text", "\n")))
+    lines = sized.select(F.col("path").alias("file"), "language", "total", F.posexplode(F.split("text", "\n")).alias("pos", "code"))
+    found = lines.select("file", "total", (F.col("pos") + 1).alias("line"), hit.alias("hit"), exported.alias("exported"), indent.alias("indent")).filter("hit IS NOT NULL")
+    # a file's definitions, in order, as one array: files are bounded in size
+    each = found.groupBy("file", "total").agg(F.array_sort(F.collect_list(F.struct("line", "indent", "hit", "exported"))).alias("all"))
+    rows = each.select("file", "total", "all", F.posexplode("all").alias("k", "d"))
+    after = F.filter(F.slice("all", F.col("k") + 2, F.size("all")), lambda x: x["indent"] <= F.col("d.indent"))
+    around = F.filter(F.slice("all", F.lit(1), F.col("k")), lambda x: (x["indent"] < F.col("d.indent")) & (x["hit"]["kind"] == "class"))
+    end = F.coalesce(F.get(after, F.lit(0))["line"] - 1, F.col("total"))
+    parent = F.get(F.reverse(around), F.lit(0))["hit"]["name"]
+    return rows.select("file", F.col("d.line").alias("line"), end.alias("end_line"), "d.hit.kind", "d.hit.name", parent.alias("parent"), F.col("d.exported").alias("exported"), F.when(F.col("d.exported"), "public").otherwise("private").alias("visibility"))
+
+
+#: Patterns of imports: (language, regex with the source in group 1, regex with the symbols' list in group 1 or None).
+IMPORTS = (
+    ("python", r"^\s*from\s+(\S+)\s+import\b", r"\bimport\s+(.+)$"),
+    ("python", r"^\s*import\s+([\w.]+)", None),
+    ("javascript", r"^\s*import\b.*?\bfrom\s+['\"]([^'\"]+)", r"\{([^}]*)\}"),
+    ("typescript", r"^\s*import\b.*?\bfrom\s+['\"]([^'\"]+)", r"\{([^}]*)\}"),
+    ("go", r"^\s*import\s+(?:\w+\s+)?\"([^\"]+)", None),
+    ("rust", r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\{|;|$)", r"\{([^}]*)\}"),
+    ("java", r"^\s*import\s+(?:static\s+)?([\w.]+)", None),
+    ("csharp", r"^\s*using\s+([\w.]+)\s*;", None),
+    ("c", r"^\s*#\s*include\s*[<\"]([^>\"]+)", None),
+    ("cpp", r"^\s*#\s*include\s*[<\"]([^>\"]+)", None),
+)
+#: Patterns of classes with bases: (language, regex with the name and the list of bases, relation).
+BASES = (
+    ("python", r"^\s*class\s+(\w+)\(([^)]*)\)", "extends"),
+    ("javascript", r"\bclass\s+(\w+)\s+extends\s+([\w.]+)", "extends"),
+    ("typescript", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)", "extends"),
+    ("typescript", r"\bclass\s+(\w+)[^{]*?\bimplements\s+([^{]+)", "implements"),
+    ("java", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)", "extends"),
+    ("java", r"\bclass\s+(\w+)[^{]*?\bimplements\s+([^{]+)", "implements"),
+    ("rust", r"^\s*impl(?:<[^>]*>)?\s+\w+(?:<[^>]*>)?\s+for\s+(\w+)()", "implements"),
+    ("csharp", r"\bclass\s+(\w+)\s*:\s*([^{]+)", "extends"),
+    ("cpp", r"\bclass\s+(\w+)\s*:\s*(?:public|protected|private)?\s*([^{]+)", "extends"),
+)
+
+
+def _listed(text: Column) -> Column:
+    """Names of a list at commas, without their aliases."""
+    return F.filter(F.transform(F.split(text, ","), lambda s: F.regexp_extract(F.trim(s), r"([\w.*]+)", 1)), lambda s: s != "")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(file, line, source, symbol) of imports; a whole module's has the symbol *."""
+    out = F.lit(None).cast("struct<source:string,symbols:array<string>>")
+    for lang, pattern, symbols in reversed(IMPORTS):
+        source = F.regexp_extract("code", pattern, 1)
+        names = F.array(F.lit("*")) if symbols is None else _listed(F.regexp_extract("code", symbols, 1))
+        found = F.struct(source.alias("source"), F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("*"))).alias("symbols"))
+        out = F.when((F.col("language") == lang) & (source != ""), found).otherwise(out)
+    hits = _lines(files).select("file", (F.col("pos") + 1).alias("line"), out.alias("hit")).filter("hit IS NOT NULL")
+    return hits.select("file", "line", "hit.source", F.explode("hit.symbols").alias("symbol"))
+
+
+def bases(files: DataFrame) -> DataFrame:
+    """(file, line, class, relation, base) of classes that extend or implement."""
+    found = F.array(*[
+        F.when((F.col("language") == lang) & (F.regexp_extract("code", pattern, 1) != ""), F.struct(F.regexp_extract("code", pattern, 1).alias("class"), F.lit(relation).alias("relation"), _listed(F.regexp_extract("code", pattern, 2)).alias("bases")))
+        for lang, pattern, relation in BASES
+    ])
+    hits = _lines(files).select("file", (F.col("pos") + 1).alias("line"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("hit"))
+    return hits.select("file", "line", "hit.class", "hit.relation", F.explode("hit.bases").alias("base"))
+
+
+def code_edges(files: DataFrame) -> DataFrame:
+    """(source, target, kind, confidence) of a source tree: a symbol's name is its file, a colon and its own name.
+
+    Files contain definitions (1.0); classes extend or implement classes of that name, in their file first (1.0); files
+    import named symbols (0.9), or of a whole module those that they call (0.7); definitions call others by name, in
+    their own file first (1.0). Of several symbols of one name, the first by name is taken.
+    """
+    defs = definitions(files).withColumn("id", F.concat_ws(":", "file", "name"))
+    ids = defs.select("file", "name", "id").distinct()
+    anywhere = ids.groupBy("name").agg(F.min("id").alias("any"))
+    here = ids.select("file", "name", F.col("id").alias("own"))
+
+    def resolved(refs: DataFrame, name: str) -> DataFrame:
+        named = refs.withColumnRenamed(name, "name").join(here, ["file", "name"], "left").join(anywhere, "name", "left")
+        return named.withColumn("target", F.coalesce("own", "any")).filter("target IS NOT NULL")
+
+    contains = ids.select(F.col("file").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    inherits = resolved(bases(files), "base").select(F.concat_ws(":", "file", "class").alias("source"), "target", F.col("relation").alias("kind"), F.lit(1.0).alias("confidence"))
+    # a call belongs to the innermost definition around its line: the last to start
+    places = calls(files)
+    inside = places.join(defs.select("file", "line", "end_line", "id").withColumnsRenamed({"line": "from"}), "file").filter("line > from AND line <= end_line").groupBy("file", "line", "name").agg(F.max_by("id", "from").alias("caller"))
+    called = resolved(inside, "name").select(F.col("caller").alias("source"), "target", F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
+    module = F.regexp_replace(F.regexp_replace("file", r"\.\w+$", ""), "/", ".")
+    of_module = ids.select(F.element_at(F.split(module, r"\."), -1).alias("module"), F.col("name").alias("symbol"), F.col("id").alias("target"))
+    wanted = imports(files).withColumn("module", F.element_at(F.split(F.regexp_replace("source", r"^[./]+|\.\w+$", ""), "[./:]+"), -1))
+    named = wanted.filter("symbol <> '*'").join(of_module, ["module", "symbol"]).select(F.col("file").alias("source"), "target", F.lit("imports").alias("kind"), F.lit(0.9).alias("confidence"))
+    used = wanted.filter("symbol = '*'").select("file", "module").join(places.select("file", F.col("name").alias("symbol")).distinct(), "file").join(of_module, ["module", "symbol"])
+    loose = used.select(F.col("file").alias("source"), "target", F.lit("imports").alias("kind"), F.lit(0.7).alias("confidence"))
+    return contains.unionByName(inherits).unionByName(called).unionByName(named).unionByName(loose).distinct()
 
 
 def calls(files: DataFrame) -> DataFrame:
     """(file, line, name) of calls, by a name before a parenthesis; keywords and definitions aside."""
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "code"))
-    plain = lines.filter(~F.col("code").rlike(r"^\s*(async\s+|export\s+|pub\s+)*(def|func|function|fn|class)\b"))
+    plain = lines.filter(~F.col("code").rlike(r"^\s*(async\s+|export\s+|pub\s+)*(def|func|function|fn|class|import|from)\b"))
     named = plain.select("file", (F.col("pos") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)\s*\("), 1))).alias("name"))
     return named.filter(~F.col("name").isin("if", "for", "while", "switch", "return", "catch", "elif"))
 
@@ -89,12 +198,12 @@ def lines_of(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
-def outlined(text: Column) -> Column:
-    """A text to read: up to 500 lines whole, up to 2000 the first 300 and the last 200, else the first 100."""
+def outlined(text: Column, whole: int = 500, most: int = 2000, first: int = 300, last: int = 200, brief: int = 100) -> Column:
+    """A text to read: up to `whole` lines as it is, up to `most` the first and the last ones, else the first `brief`."""
     lines = F.split(text, "\n")
     n = F.size(lines)
-    middle = F.concat(F.slice(lines, 1, 300), F.array(F.lit("...")), F.slice(lines, F.lit(-200), F.lit(200)))
-    return F.array_join(F.when(n <= 500, lines).when(n <= 2000, middle).otherwise(F.slice(lines, 1, 100)), "\n")
+    middle = F.concat(F.slice(lines, 1, first), F.array(F.lit("...")), F.slice(lines, F.lit(-last), F.lit(last)))
+    return F.array_join(F.when(n <= whole, lines).when(n <= most, middle).otherwise(F.slice(lines, 1, brief)), "\n")
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -70,7 +70,35 @@ def manifest(spark: SparkSession, d: str, new: bool) -> DataFrame:
     return docs.filter("doc_id % 10 > 0").selectExpr("doc_id AS path", "CASE WHEN doc_id % 7 = 0 OR doc_id % 13 = 0 THEN doc_id % 1000 + 5 ELSE doc_id % 1000 END AS mtime", "CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size", f"md5({text}) AS hash")
 
 
+KINDS = ("if_statement", "for_statement", "switch_statement", "return_statement", "break_statement", "try_statement", "block", "call_expression", "assignment", "update_expression", "parameter", "expression_statement")
+
+
+def ast(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of syntax trees, from lines of orders as functions: fn, pos, id, kind, name, text, line."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").withColumn("pos", F.row_number().over(w) - 1)
+    kind = F.array(*map(F.lit, KINDS))[(F.col("l_partkey") % len(KINDS)).cast("int")]
+    rows = rows.select(F.col("l_orderkey").alias("fn"), "pos", (F.col("l_orderkey") * 100 + F.col("pos")).alias("id"), kind.alias("kind"), F.expr("concat('v', l_partkey % 7)").alias("name"), "l_suppkey", F.col("l_linenumber").alias("line"))
+    text = F.expr("""CASE kind WHEN 'call_expression' THEN concat(name, '(v1, g(v2, v3), [v4, v5])') WHEN 'assignment' THEN concat(name, ' = v', l_suppkey % 7, ' + 1')
+      WHEN 'return_statement' THEN concat('return v', l_suppkey % 7, ' + 3x') WHEN 'update_expression' THEN concat(name, CASE l_suppkey % 5 WHEN 0 THEN '++' WHEN 1 THEN '--' WHEN 2 THEN ' += 2' WHEN 3 THEN ' *= 3' ELSE ' := 1' END) ELSE concat(kind, ' ', name) END""")
+    return rows.select("fn", "pos", "id", "kind", "name", text.alias("text"), "line")
+
+
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    """Source files, from parts of a brand as definitions: path, language, text."""
+    lines = F.expr("""concat(
+      CASE WHEN p_partkey % 7 = 0 THEN concat('from mod', p_partkey % 25, ' import f', p_partkey + 1, ', f', p_partkey + 2, '\\n') ELSE '' END,
+      CASE WHEN p_partkey % 5 = 0 THEN concat('class C', p_partkey, CASE WHEN p_partkey > 25 THEN concat('(C', p_partkey - 25, ')') ELSE '' END, ':\\n    size = ', p_size)
+        ELSE concat('def ', CASE WHEN p_partkey % 3 = 0 THEN '_' ELSE '' END, 'f', p_partkey, '(a, b):\\n    return f', p_partkey + 5, '(a) + g(b)') END)""")
+    parts = table(spark, d, "part").select(F.col("p_brand"), F.col("p_partkey"), lines.alias("code"))
+    files = parts.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))), lambda x: x["code"]), "\n").alias("text"))
+    return files.select(F.concat(F.lit("src/mod"), F.regexp_extract("p_brand", "([0-9]+)", 1), F.lit(".py")).alias("path"), F.lit("python").alias("language"), "text")
+
+
 SQL: dict[str, str] = {
+    "syntax": """SELECT l_orderkey fn, CAST(pos AS INTEGER) pos, l_orderkey * 100 + pos id, kind, name, CASE kind WHEN 'call_expression' THEN name || '(v1, g(v2, v3), [v4, v5])' WHEN 'assignment' THEN name || ' = v' || l_suppkey % 7 || ' + 1'
+      WHEN 'return_statement' THEN 'return v' || l_suppkey % 7 || ' + 3x' WHEN 'update_expression' THEN name || CASE l_suppkey % 5 WHEN 0 THEN '++' WHEN 1 THEN '--' WHEN 2 THEN ' += 2' WHEN 3 THEN ' *= 3' ELSE ' := 1' END ELSE kind || ' ' || name END AS text, l_linenumber line, l_suppkey sup
+      FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 pos, """ + repr(list(KINDS)) + """[CAST(l_partkey % 12 + 1 AS INTEGER)] kind, 'v' || l_partkey % 7 AS name FROM lineitem)""",
     "g_nodes": """SELECT p_partkey id, p_name AS name, CASE p_partkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' WHEN 2 THEN 'method' ELSE 'function' END kind,
       p_brand || '/' || p_type || '/' || CASE WHEN p_partkey % 11 = 0 THEN 'unit_test' ELSE CAST(p_size % 7 AS VARCHAR) END || '.go' AS file, p_size line,
       CAST(p_size + p_partkey % 9 AS INTEGER) end_line, p_partkey % 3 = 0 exported, p_brand || '.' || p_name qualified_name, p_brand AS scope,
