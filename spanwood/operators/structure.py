@@ -204,6 +204,55 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
     return labels.select(F.col("node").alias("id"), F.col("label").alias("community"))
 
 
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 10) -> DataFrame:
+    """(id, community) by local moves that raise modularity and contraction of communities, again and again (Blondel et al., 2008).
+
+    In a round, half of the nodes (by hash, in turn) move to the neighbouring community of the greatest gain, the least of
+    several; rounds of a level end when neither half raises the modularity, and its best state is kept. Then communities
+    become nodes. Levels end when one changes nothing. Communities are named after their smallest id.
+    """
+    ways = cut(both_ways(simple(nodes, edges)).withColumn("w", F.lit(1.0)))
+    total = ways.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    member = cut(_ids(nodes).withColumn("super", F.col("node")))
+    for _ in range(levels if total else 0):
+        degree = cut(ways.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+        best = state = cut(degree.select("node", "k", F.col("node").alias("label")))
+        top, quiet = _quality(ways, state, total, resolution), 0
+        start = top
+        for turn in range(rounds):
+            sums = state.groupBy("label").agg(F.sum("k").alias("tot"))
+            own = state.select(F.col("node").alias("src"), F.col("label").alias("mine"), "k").join(sums.withColumnRenamed("label", "mine"), "mine")
+            near = ways.filter("src <> dst").join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("links"))
+            gains = near.join(sums, "label").join(own.select("src", "mine", "k"), "src")
+            gain = F.col("links") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("mine"), F.col("k")).otherwise(0.0)) / total
+            scored = gains.select("src", "label", "mine", gain.alias("gain"))
+            stay = scored.filter("label = mine").select("src", F.col("gain").alias("kept"))
+            alone = own.select("src", (-resolution * F.col("k") * (F.col("tot") - F.col("k")) / total).alias("base"))
+            pick = scored.groupBy("src").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "label")).alias("p")).join(alone, "src").join(stay, "src", "left")
+            moves = pick.filter(-F.col("p.g") > F.coalesce("kept", "base") + 1e-9).filter(F.pmod(F.xxhash64("src"), F.lit(2)) == turn % 2).select(F.col("src").alias("node"), F.col("p.label").alias("to"))
+            state = cut(state.join(moves, "node", "left").select("node", "k", F.coalesce("to", "label").alias("label")))
+            now = _quality(ways, state, total, resolution)
+            best, top, quiet = (state, now, 0) if now > top + 1e-9 else (best, top, quiet + 1)
+            if quiet == 2:
+                break
+        if top <= start + 1e-9:
+            break
+        to = best.select("node", "label")
+        member = cut(member.join(to.withColumnRenamed("node", "super"), "super", "left").select("node", F.coalesce("label", "super").alias("super")))
+        ends = ways.join(to.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+        ways = cut(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    names = member.groupBy("super").agg(F.min("node").alias("community"))
+    return member.join(names, "super").select(F.col("node").alias("id"), "community")
+
+
+def _quality(ways: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of state(node, k, label) on ways(src, dst, w), which has each edge both ways."""
+    a, b = state.select(F.col("node").alias("src"), F.col("label").alias("a")), state.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+    inside = ways.join(a, "src").join(b, "dst").filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    spread = state.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return inside / total - resolution * spread / total**2
+
+
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
     """modularity of communities(id, community) on the undirected simple graph of edges."""
     pairs = edges.select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).filter("u <> v").distinct()

@@ -134,6 +134,25 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return walk(cut(arrows(edges)), start).filter("depth > 0").select(F.col("root").alias("source"), F.col("node").alias("target"), F.col("depth").alias("distance"))
 
 
+def cycle_paths(edges: DataFrame, max_length: int = 5, most: int = 100) -> DataFrame:
+    """(path, length) of the shortest simple cycles of more than one node, each from its smallest node, at most `most`.
+
+    Walks begin at every node and go on to greater nodes only, so a cycle is met once; after each round, those that
+    closed leave. Length and number are the feature's own bounds.
+    """
+    ways = cut(arrows(edges).filter("src <> dst"))
+    open_ = cut(ways.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last")))
+    found = None
+    for length in range(2, max_length + 1):
+        step = open_.join(ways, F.col("last") == F.col("src"))
+        closed = cut(step.filter("dst = first").select("path", F.lit(length).alias("length")).orderBy("path").limit(most))
+        found = closed if found is None else found.unionByName(closed)
+        if length < max_length:
+            onward = step.filter(F.col("dst") > F.col("first")).filter(~F.array_contains("path", F.col("dst")))
+            open_ = cut(onward.select(F.array_append("path", F.col("dst")).alias("path"), "first", F.col("dst").alias("last")))
+    return found.orderBy("length", "path").limit(most)
+
+
 def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(distance, pairs): how many ordered pairs of nodes are at each finite distance above 0.
 

@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them."""
 
-from . import flow, graph, relational, retrieval
+from . import flow, graph, relational, retrieval, service
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flow", "graph", "relational", "retrieval"]
+__all__ = ["QUERIES", "SQL", "flow", "graph", "relational", "retrieval", "service"]

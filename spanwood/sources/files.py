@@ -113,7 +113,6 @@ BASES = (
     ("typescript", r"\bclass\s+(\w+)[^{]*?\bimplements\s+([^{]+)", "implements"),
     ("java", r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)", "extends"),
     ("java", r"\bclass\s+(\w+)[^{]*?\bimplements\s+([^{]+)", "implements"),
-    ("rust", r"^\s*impl(?:<[^>]*>)?\s+\w+(?:<[^>]*>)?\s+for\s+(\w+)()", "implements"),
     ("csharp", r"\bclass\s+(\w+)\s*:\s*([^{]+)", "extends"),
     ("cpp", r"\bclass\s+(\w+)\s*:\s*(?:public|protected|private)?\s*([^{]+)", "extends"),
 )
@@ -225,6 +224,11 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFr
     return some.select(F.format_string("n%d[%s]", "id", "name").alias("line")).unionByName(inner.select(F.format_string("n%d -->|%s| n%d", "source_id", "kind", "target_id").alias("line")))
 
 
+def json_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(line) of a JSON object for each row."""
+    return df.select(F.to_json(F.struct(*columns)).alias("line"))
+
+
 def save_snapshot(df: DataFrame, folder: str, name: str) -> str:
     """Write a named version; an older one of that name is replaced."""
     df.write.mode("overwrite").parquet(f"{folder}/version={name}")
@@ -233,3 +237,20 @@ def save_snapshot(df: DataFrame, folder: str, name: str) -> str:
 
 def load_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/version={name}")
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the versions in a folder."""
+    where, store = _folder(spark, folder)
+    return sorted(f.getPath().getName().removeprefix("version=") for f in store.listStatus(where)) if store.exists(where) else []
+
+
+def delete_snapshot(spark: SparkSession, folder: str, name: str) -> bool:
+    """Remove a version; whether there was one."""
+    where, store = _folder(spark, f"{folder}/version={name}")
+    return store.delete(where, True)

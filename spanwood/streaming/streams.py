@@ -107,6 +107,26 @@ def maintained(spark: SparkSession, stream: DataFrame, start: DataFrame, key: st
     return spark.read.parquet(f"{base}/v{state['v']}")
 
 
+def built(stream: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What build(batch) gives for every batch of changes there is, each written once under its number."""
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/built/{uuid.uuid4().hex}"
+    run = lambda batch, number: build(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def fanned_out(stream: DataFrame, sinks: dict[str, str]) -> dict[str, DataFrame]:
+    """Each batch's rows to every sink whose condition they meet; a batch that runs again replaces what it wrote."""
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/sinks/{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        for name, condition in sinks.items():
+            batch.filter(condition).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return {name: spark.read.schema(stream.schema).parquet(f"{base}/{name}") for name in sinks}
+
+
 def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table with rows of the same key replaced."""
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
