@@ -106,8 +106,8 @@ def test_quoted_query(spark, query, want):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(X.tokens_of_bytes(F.lit(t))) for t in ("", "hello", "func main()")] == [0, 2, 4]
-    assert one(X.cyclomatic(F.lit("return 1"))) == 1 and one(X.cyclomatic(F.lit("if a && b {"))) == 3
-    assert one(X.nesting(F.lit("{ { } { { } } }"))) == 3
+    assert one(X.cyclomatic(F.lit("return 1"), F.lit("go"))) == 1 and one(X.cyclomatic(F.lit("if a && b {"), F.lit("go"))) == 3
+    assert one(X.nesting(F.lit("{ { } { { } } }"), F.lit("go"))) == 3
     assert one(X.code_lines(F.lit("a\n\n// b\n/* c\nd */\ne"))) == 2
     assert one(X.folded(F.lit("a/./b/../c"))) == "a/c" and one(X.folded(F.lit("../x"))) == "../x"
     text = "\n".join("line %d of a long text" % i for i in range(100))
