@@ -248,9 +248,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels:
 def _quality(ways: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
     """Modularity of state(node, k, label) on ways(src, dst, w), which has each edge both ways."""
     a, b = state.select(F.col("node").alias("src"), F.col("label").alias("a")), state.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-    inside = ways.join(a, "src").join(b, "dst").filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    spread = state.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-    return inside / total - resolution * spread / total**2
+    inside = ways.join(a, "src").join(b, "dst").filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
+    spread = state.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("spread"))
+    r = inside.crossJoin(spread).first()  # single rows
+    return r["inside"] / total - resolution * r["spread"] / total**2
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:

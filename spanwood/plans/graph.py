@@ -109,7 +109,7 @@ def gr13_strong_components(spark: Spark, d: str) -> DataFrame:
     return S.strong_components(V.nodes(spark, d), V.edges(spark, d).filter("kind IN ('imports', 'extends', 'implements')"))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT DISTINCT source_id s, target_id t FROM g_edges WHERE source_id <> target_id), r(a, b) USING KEY (a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b LEFT JOIN recurring.r x ON x.a = r.a AND x.b = e.t WHERE x.a IS NULL), c AS (SELECT x.a id, least(x.a, min(x.b)) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) > 1")
 def gr13_cycles_all_kinds(spark: Spark, d: str) -> DataFrame:
     return S.cycles(V.nodes(spark, d), V.edges(spark, d))
 
