@@ -231,7 +231,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def match_score(name: Column, query: str, exported: Column) -> tuple[Column, Column]:
-    """exact, prefix or partial, and 3, 2 or 1 with half a point more for an exported name."""
+    """exact, prefix or partial, and 3, 2 or 1 with half a point more for an exported name; letters of either case are alike."""
     low, q = F.lower(name), query.lower()
     kind = F.when(low == q, "exact").when(low.startswith(q), "prefix").otherwise("partial")
     return kind, F.when(low == q, 3.0).when(low.startswith(q), 2.0).otherwise(1.0) + F.when(exported, 0.5).otherwise(0.0)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in a local master's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return base.rstrip("/")
 
 
@@ -21,6 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what cut wrote of an earlier round; nothing may read it from now on."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) of edges(src, dst) and their reverses, without loops."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()

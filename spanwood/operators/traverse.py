@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import arrows, cut
+from .steps import arrows, cut, discard
 
 
 def walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -164,7 +164,8 @@ def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     counts, known, distance = [], state.count(), 0
     while True:
         onward = state.join(ways, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "block", "from")
-        state = cut(state.unionByName(onward).groupBy("node", "block").agg(F.bitmap_or_agg("from").alias("from")))
+        before, state = state, cut(state.unionByName(onward).groupBy("node", "block").agg(F.bitmap_or_agg("from").alias("from")))
+        discard(before)
         now = state.agg(F.coalesce(F.sum(F.bitmap_count("from")), F.lit(0))).first()[0]
         if now == known:
             return nodes.sparkSession.createDataFrame(counts, "distance int, pairs long")  # one row for each distance

@@ -60,8 +60,8 @@ def debounced(changes: DataFrame, quiet: str = "300 milliseconds") -> DataFrame:
     one session over all paths; only (path, change, time) triples of a batch, reduced on the map side, meet there.
     """
     last = F.max(F.struct((F.col("change") == "deleted").alias("gone"), "ts", "change"))
-    gaps = changes.withColumn("at", F.date_trunc("hour", "ts"))
-    # a batch's border is a gap before it: looked for within each hour, and across hours on their ends alone
+    gaps = changes.withColumn("at", F.date_trunc("minute", "ts"))
+    # a batch's border is a gap before it: looked for within each minute, and across minutes on their ends alone
     within = Window.partitionBy("at").orderBy("ts")
     ends = gaps.groupBy("at").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     before = ends.select("at", "lo", F.lag("hi").over(Window.orderBy("at")).alias("before"))
