@@ -11,7 +11,10 @@ from spanwood.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, rejects go; null texts stay."""
+    """Documents that the classifier, trained on the labelled ones, rejects go.
+
+    Null texts stay; repeated rows are judged alike; without labels of both classes, or in an empty table, nothing goes.
+    """
     ship(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
@@ -25,19 +28,22 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard index 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard index 0.8 or more.
+
+    Texts without words stay; of repeated rows (one id and text) one stays; an empty table stays empty.
+    """
     ship(spark)
     return minhash.keep_one(docs, threshold=(80, 100))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; every document stays."""
+    """Secrets in texts are masked; every document stays, repeated rows alike; null and empty texts stay as they are."""
     ship(spark)
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequence and place."""
+    """The pieces of all documents, with their sequence and place; null and empty texts have one piece of one token."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -50,7 +56,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
+#: SQL can express neither the classifier nor the tokenizer. tests/llm checks each stage's decisions on its own input:
+#: line dedup against its SQL, near copies against all pairs, secrets against a recipe, pieces against the tokenizer.
 ORACLE_SQL = None
 
 

@@ -236,8 +236,8 @@ def _threshold(counts: np.ndarray) -> float:
 class Scorer:
     """Scores texts; a worker remembers what words add."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, memo: int = MEMO):
+        self.model, self.memo = model, memo
         self._forget()
 
     def _forget(self) -> None:
@@ -251,7 +251,7 @@ class Scorer:
 
     def judged(self, text: str) -> tuple[float, str]:
         """The logit and the language of a text."""
-        if len(self.words.number) >= MEMO:
+        if len(self.words.number) >= self.memo:
             self._forget()
         ids = np.array(self.words(text), np.int64)
         known = len(self.words.rows)
@@ -294,7 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = train([r[4] for r in rows], [r[2] for r in rows])
     if model:
         others = [train([r[4] for r in rows if r[3] != k], [r[2] for r in rows if r[3] != k]) or model for k in range(FOLDS)]
-        bins = _logit_counts(plain.join(known, "__id"), others)
+        # labels may be any share of the rows: they are never broadcast, at no size
+        bins = _logit_counts(plain.join(known.hint("merge"), "__id"), others)
         model.thresholds = thresholds(bins)
         model.calibrated = {lang: sum(n for own, y, _, n in bins if y and own == lang) for lang in LANGUAGES}
     return model
@@ -305,7 +306,7 @@ def _logit_counts(labelled: DataFrame, models: list[Model]) -> list[tuple[str, i
     shared = labelled.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(m) for m in shared.value]
+        scorers = [Scorer(m, MEMO // FOLDS) for m in shared.value]
         for batch in batches:
             judged = [scorers[k].judged(t.as_py()) for t, k in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             bins = [round(min(max(logit, -FAR), FAR) * BINS) for logit, _ in judged]
