@@ -83,6 +83,22 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, ou
     return ranked.join(starts, [*keys, "__b"]).withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).drop("__b", "__r", "__start")
 
 
+def ordered_rank(df: DataFrame, order: list[str], out: str, part_rows: int = 1_000_000) -> DataFrame:
+    """Number all rows from 0 in ascending `order`, whose columns should tell rows apart; no task gets more than a part of them.
+
+    Rows are dealt by ranges of `order` and written, so that each keeps its part; a count for each part gives its first number.
+    """
+    spark = df.sparkSession
+    # counted from what is dealt, not guessed: at least a task for each million rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // part_rows))
+    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row for each part
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("__r", within).join(F.broadcast(starts), "__part").withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).drop("__part", "__start", "__r")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b long): (node, root), root the smallest node; nodes without a link are left out.
 
