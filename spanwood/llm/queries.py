@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunking, embeddings, lines, minhash, packing, resampling, secrets, sharding, toxicity, url_filter
+from . import byte_bpe, chunking, embeddings, lines, minhash, packing, ranked_search, resampling, secrets, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -52,11 +52,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup, op12_ranked_search, op13_resampling)}
 
 _SPACED = r"""trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ')"""
 SQL = {
@@ -78,4 +82,17 @@ SQL = {
     SELECT doc_id, CAST(CASE WHEN docs.text IS NULL THEN 0 ELSE len(string_split(docs.text, chr(10))) END AS INTEGER) n_lines,
       CAST(coalesce(n_dropped, 0) AS INTEGER) n_dropped, md5(coalesce(kept.text, '')) text_md5
     FROM docs LEFT JOIN kept USING (r) LEFT JOIN n USING (r)""",
+    "op12_ranked_search": """
+    WITH docs AS (SELECT doc_id, text, row_number() OVER () r FROM documents),
+    words AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term FROM docs),
+    tf AS (SELECT r, doc_id, term, count(*) tf FROM words GROUP BY ALL),
+    len AS (SELECT r, count(*) n FROM words GROUP BY r),
+    corpus AS (SELECT count(*) n_docs, CAST(sum(n) AS BIGINT) n_terms FROM len),
+    m AS (SELECT r, 10 + (90 * n * n_docs) // n_terms m FROM len, corpus),
+    wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term FROM benchmark),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) w FROM tf, corpus GROUP BY term),
+    scores AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) score
+      FROM wanted JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM scores WHERE score > 0) WHERE rank <= 10""",
 }
