@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunking, embeddings, lines, minhash, packing, ranked_search, resampling, secrets, sharding, toxicity, url_filter
+from . import byte_bpe, chunking, embeddings, lines, main_text, minhash, packing, ranked_search, resampling, secrets, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +65,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup, op12_ranked_search, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secrets, op4_byte_bpe, op5_fingerprints, op6_url_filter, op7_minhash, op8_sharding, op9_packing, op10_line_dedup, op11_main_text, op12_ranked_search, op13_resampling)}
 
 _SPACED = r"""trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ')"""
 SQL = {
