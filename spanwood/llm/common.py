@@ -51,15 +51,30 @@ def blank(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, most: int) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside all of df's, whatever these are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"__{name}" in taken:
+            name = "_" + name
+        out.append(f"__{name}")
+    return out
+
+
+def split_hot(rows: DataFrame, one: DataFrame, key: str, most: int, how: str) -> DataFrame:
     """rows joined with one(key, n, ...), which has one row for each key and the key's number of rows there, of `most` in all.
 
     Keys of over a HOT_SHARE-th of all rows are at most HOT_SHARE many, so they are broadcast and their rows stay where
-    they are; no task gets a hot key whole. The rest is joined by key.
+    they are; no task gets a hot key whole. The rest is joined by key, `how` inner or left.
     """
     hot = F.broadcast(one.filter(F.col("n") > most / HOT_SHARE).drop("n"))  # at most HOT_SHARE rows
     cold = one.filter(F.col("n") <= most / HOT_SHARE).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, most: int) -> DataFrame:
+    return split_hot(rows, one, key, most, "inner")
 
 
 #: A key is hot from this share of all rows on.

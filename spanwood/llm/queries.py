@@ -69,19 +69,23 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_secret
 
 _SPACED = r"""trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ')"""
 SQL = {
-    # fields as in lines.py: one leading token, then fields of at most three tenths of the line; a template leaves one of them out
+    # as in lines.py: equal lines first; then templates of what stays, by different lines
     "op10_line_dedup": f"""
     WITH docs AS (SELECT doc_id, text, row_number() OVER () r FROM documents),
     lines AS (SELECT doc_id, r, pos, line FROM (SELECT doc_id, r, string_split(text, chr(10)) ls FROM docs),
       LATERAL (SELECT unnest(ls) line, unnest(range(len(ls))) pos)),
-    toks AS (SELECT doc_id, r, pos, list_transform(string_split_regex({_SPACED}, ' +'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '0' ELSE x END) t
-      FROM lines WHERE {_SPACED} <> ''),
-    sized AS (SELECT *, len(t) n, len(t) * {lines.OPEN_TENTHS} // 10 w FROM toks),
+    toks AS (SELECT doc_id, r, pos, string_split_regex({_SPACED}, ' +') exact FROM lines WHERE {_SPACED} <> ''),
+    stays AS (SELECT *, list_transform(exact, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '0' ELSE x END) t
+      FROM (SELECT *, min(doc_id) OVER (PARTITION BY exact) first FROM toks) WHERE doc_id = first),
+    sized AS (SELECT *, len(t) n, len(t) * {lines.OPEN_TENTHS} // 10 w, len(list_filter(t, lambda x: x <> '0')) l FROM stays),
     filed AS (
-      SELECT doc_id, r, pos, {{'k': k, 'n': n, 'p': t[1:1 + k * w] || t[2 + (k + 1) * w:]}} key FROM sized, range(5) ks(k)
-      WHERE k < CASE WHEN w = 0 THEN 1 ELSE ceil((n - 1) / w) END),
-    seen AS (SELECT key, min(doc_id) first FROM filed GROUP BY key HAVING min(doc_id) <> max(doc_id)),
-    drops AS (SELECT DISTINCT r, pos FROM filed JOIN seen USING (key) WHERE doc_id <> first),
+      SELECT doc_id, r, pos, exact, {{'k': -1, 'n': n, 'p': t}} key FROM sized WHERE n < {lines.OPEN_FROM} AND l < n AND l >= {lines.LITERALS} AND 2 * l >= n
+      UNION ALL SELECT doc_id, r, pos, exact, {{'k': k, 'n': n, 'p': t[1:1 + k * w] || t[2 + (k + 1) * w:]}} key FROM (
+        SELECT *, l - len(list_filter(t[2 + k * w:1 + (k + 1) * w], lambda x: x <> '0')) lk FROM sized, range({lines.FIELDS}) ks(k)
+        WHERE n >= {lines.OPEN_FROM} AND k < ceil((n - 1) / w)) WHERE lk >= {lines.LITERALS} AND 2 * lk >= n),
+    seen AS (SELECT key, min(doc_id) first FROM filed GROUP BY key HAVING min(doc_id) <> max(doc_id) AND count(DISTINCT exact) >= {lines.LINES}),
+    drops AS (SELECT r, pos FROM (SELECT r, pos, doc_id, min(doc_id) OVER (PARTITION BY exact) first FROM toks) WHERE doc_id <> first
+      UNION SELECT r, pos FROM filed JOIN seen USING (key) WHERE doc_id <> first),
     kept AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) text FROM lines ANTI JOIN drops USING (r, pos) GROUP BY r),
     n AS (SELECT r, count(*) n_dropped FROM drops GROUP BY r)
     SELECT doc_id, CAST(CASE WHEN docs.text IS NULL THEN 0 ELSE len(string_split(docs.text, chr(10))) END AS INTEGER) n_lines,
