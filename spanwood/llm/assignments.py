@@ -12,22 +12,23 @@ import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"""
+_TOKENS = r"""
       (?P<line>\n)
     | (?P<define>\#[\x20\t]*define[\x20\t]+(?P<dname>[A-Za-z_]\w*)[\x20\t]+)
-    | (?P<comment>(?<!\S)\#[^\n]*+ | (?<!:)//[^\n]*+ | /\*(?:[^*]|\*(?!/))*+(?:\*/)? | <!--(?:[^-]|-(?!->))*+(?:-->)? | (?<!\S)--\x20[^\n]*+)
+    | (?P<comment>%s)
     | (?P<string>(?<!\w)(?:[rbfuRBFU]{1,2})?(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\" | '''(?:[^'\\]|\\.|'(?!''))*+''' | '(?:[^'\\\n]|\\.)*+' | "(?:[^"\\\n]|\\.)*+")
         | "(?:[^"\\\n]|\\.)*+" | `(?:[^`\\]|\\.)*+`)
-    | (?P<heredoc><<[-~]?\x20?(?P<hq>["']?)(?P<hname>[A-Za-z_]\w*)(?P=hq)[^\n]*+\n)
+    | (?P<heredoc><<[-~]?\x20?(?P<hq>["']?)(?P<hname>[A-Za-z_]\w*+)(?P=hq))
     | (?P<tag><(?P<tname>[A-Za-z_][\w.:-]*+)(?=[\s/>])(?P<attrs>[^<>]*+)>)
     | (?P<option>(?<!\S)--(?P<oname>[A-Za-z][\w-]*+)[\x20\t]++(?=[\w$"']))
     | (?P<name>[^\W\d][\w$]*+(?:[.-][\w$]++)*+)
     | (?P<op>::|:/|:=|=>|=~|={2,3}|!=|<=|>=|\+=|\|\||\.\.|->|[=:+.,&(){}\[\]])
     | (?P<other>\\. | \w++ | [^\s\w"'`<\#/:=+.,&(){}\[\]|>!\\-]++ | .)
-    """,
-    re.VERBOSE | re.DOTALL,
-)
+    """
+_COMMENT = r"""(?<!\S)\#[^\n]*+ | (?<!:)//[^\n]*+ | /\*(?:[^*]|\*(?!/))*+(?:\*/)? | <!--(?:[^-]|-(?!->))*+(?:-->)? | (?<!\S)--\x20[^\n]*+"""
+_TOKEN = re.compile(_TOKENS.replace("%s", _COMMENT), re.VERBOSE | re.DOTALL)
+#: Inside a comment a further sign is skipped, and what follows it is lexed in place: each character is read once.
+_TOKEN_IN_COMMENT = re.compile(_TOKENS.replace("%s", r"(?<!\S)\#++ | (?<!:)//++ | /\*++ | <!--+ | (?<!\S)--\x20"), re.VERBOSE | re.DOTALL)
 _KINDS = ("name", "other", "op", "line", "string", "comment", "tag", "option", "define", "heredoc")
 _GAP = re.compile(r"(?:[\x20\t\r]|\\\r?\n)++")
 _NAME = r"[^\W\d][\w$]*+(?:[.-][\w$]++)*+"
@@ -38,8 +39,9 @@ _BARE = re.compile(r"""[\w$](?:[\w+/.$@!%^*~#?-]|=(?!["']))*+""")
 _STRING = re.compile(r"""[rbfuRBFU]{0,2}(\"\"\"|'''|["'`])""")
 _BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*(?:\#[^\n]*)?\n")
 _NEXT_LINE = re.compile(r"""\r?\n([\x20\t]++)(?:"([^"\n]*+)"|'([^'\n]*+)'|([\w$][\w+/.=$!@#%^*~-]*+))[\x20\t\r]*+(?=\n|\Z)""")
-_ATTR = re.compile(r"""([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
-_CONTENT = re.compile(r"\s*+(?:<!\[CDATA\[)?\s*+([^<\]]*?)\s*+(?:\]\]>)?\s*+</([A-Za-z_][\w.:-]*+)\s*+>")
+_ATTR = re.compile(r"""(?<![\w.:-])([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+_OPENED, _HELD = re.compile(r"\s*+(?:<!\[CDATA\[)?\s*+"), re.compile(r"[^<\]]*+")
+_CLOSED = re.compile(r"(?:\]\]>)?\s*+</([A-Za-z_][\w.:-]*+)\s*+>")
 _WORDLIKE = re.compile(r"[\w.-]+")
 #: What follows a sign on the same line if it joins strings.
 _JOINED = re.compile(r"""[\x20\t]*+["'`$]""")
@@ -77,7 +79,8 @@ class Lexer:
         self.found: list[Assigned] = []
         self.parent: list[int] = []
         self.missing: dict[str, int] = {}
-        regions = [(0, len(text))]
+        self.line = (0, -1)  # a place, and the first line end from it on
+        regions = [(0, len(text), False)]
         while regions:
             self._region(*regions.pop(), regions)
         self._resolve()
@@ -86,8 +89,9 @@ class Lexer:
         self.parent.append(parent)
         return len(self.parent) - 1
 
-    def _region(self, a: int, b: int, regions: list[tuple[int, int]]) -> None:
-        text, at = self.text, a
+    def _region(self, a: int, b: int, comment: bool, regions: list[tuple[int, int, bool]]) -> None:
+        text, at, token = self.text, a, _TOKEN_IN_COMMENT if comment else _TOKEN
+        self.token = token
         root = scope = self._scope(-1)
         blocks: list[tuple[int, int]] = []  # (indent, scope) of open definitions
         opened: list[int] = []  # scopes to go back to at closing braces
@@ -103,7 +107,7 @@ class Lexer:
                 at = gap.end()
                 if at >= b:
                     break
-            m = _TOKEN.match(text, at, b)
+            m = token.match(text, at, b)
             at = m.end()
             kind = next(k for k in _KINDS if m[k] is not None)
             if kind == "line":
@@ -122,7 +126,8 @@ class Lexer:
                     opens = indent
                 fresh = False
             if kind == "comment":
-                self._nested(m.start() + 1, m.end(), regions)
+                if not comment:
+                    self._nested(m.start() + 1, m.end(), regions, comment=True)
             elif kind == "string":
                 start, end = self._content(m.start(), m.end())
                 if before == "(" and end - start < 80 and _WORDLIKE.fullmatch(text, start, end) and (comma := _COMMA.match(text, at, b)):
@@ -168,9 +173,9 @@ class Lexer:
                 target = target if m[0] in ("?", "!") else None
             before = m[0] if kind == "op" else ""
 
-    def _nested(self, a: int, b: int, regions: list[tuple[int, int]]) -> None:
+    def _nested(self, a: int, b: int, regions: list[tuple[int, int, bool]], comment: bool = False) -> None:
         if b - a > 8 and self.inner(self.text, a, b):
-            regions.append((a, b))
+            regions.append((a, b, comment))
 
     def _content(self, a: int, b: int) -> tuple[int, int]:
         """The span inside a string's quotes."""
@@ -178,18 +183,25 @@ class Lexer:
         n = len(quote[1])
         return quote.end(), b - n
 
-    def _heredoc(self, m: re.Match, b: int, names: list[str] | None, regions: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
+    def _heredoc(self, m: re.Match, b: int, names: list[str] | None, regions: list[tuple[int, int, bool]]) -> tuple[list[tuple[int, int]], int]:
         """Spans of the lines of a here-document, and its end; without a last line it is no document."""
-        name = m["hname"]
-        if self.missing.get(name, b + 1) <= m.end():
+        name, start = m["hname"], self._next_line(m.end(), b)
+        if start < 0 or self.missing.get(name, b + 1) <= start:
             return [], m.start() + 2
-        end = re.compile(rf"^[\x20\t]*{re.escape(name)}\b", re.MULTILINE).search(self.text, m.end(), b)
+        end = re.compile(rf"^[\x20\t]*{re.escape(name)}\b", re.MULTILINE).search(self.text, start, b)
         if not end:
-            self.missing[name] = m.end()
+            self.missing[name] = min(start, self.missing.get(name, start))
             return [], m.start() + 2
         if names is None:
-            self._nested(m.end(), end.start(), regions)
-        return self._lines(m.end(), end.start()), end.end()
+            self._nested(start, end.start(), regions)
+        return self._lines(start, end.start()), end.end()
+
+    def _next_line(self, at: int, b: int) -> int:
+        """Where the next line starts; -1 without one before b."""
+        if not self.line[0] <= at <= self.line[1]:
+            end = self.text.find("\n", at)
+            self.line = (at, len(self.text) if end < 0 else end)
+        return self.line[1] + 1 if self.line[1] < b else -1
 
     def _lines(self, a: int, b: int) -> list[tuple[int, int]]:
         return [(x.start(), x.end()) for x in _LINE.finditer(self.text, a, b)]
@@ -231,11 +243,12 @@ class Lexer:
         self._tagged(m, b, m["tname"], scope)
 
     def _tagged(self, m: re.Match, b: int, name: str, scope: int) -> None:
-        own = _CONTENT.match(self.text, m.end(), b)
-        if own and own[2] == m["tname"] and own[1]:
-            self.found.append(Assigned([name], read=[(None, *own.span(1))], scope=scope))
+        held = _HELD.match(self.text, _OPENED.match(self.text, m.end(), b).end(), b)
+        closed = _CLOSED.match(self.text, held.end(), b)
+        if closed and closed[1] == m["tname"] and (inner := held[0].rstrip()):
+            self.found.append(Assigned([name], read=[(None, held.start(), held.start() + len(inner))], scope=scope))
 
-    def _value(self, names: list[str], at: int, b: int, scope: int, regions: list[tuple[int, int]]) -> int:
+    def _value(self, names: list[str], at: int, b: int, scope: int, regions: list[tuple[int, int, bool]]) -> int:
         """Read a value: operands that are joined by an operator or, if quoted, by standing side by side; the place after it."""
         text, read, depth, after = self.text, [], 0, "start"
         end = at
@@ -248,7 +261,7 @@ class Lexer:
                 names.append(chain[1])
                 at = chain.end()
                 continue
-            m = _TOKEN.match(text, at, b)
+            m = self.token.match(text, at, b)
             if m["line"] is not None:
                 # inside parentheses, after an operator and before one, a line's end is a gap
                 if not depth and after != "join" and not (after != "start" and _JOINS_NEXT.match(text, at, b)):
