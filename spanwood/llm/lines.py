@@ -24,38 +24,52 @@ OPEN_TENTHS, FIELDS, OPEN_FROM = 3, 5, 8
 LINES, LITERALS = 3, 2
 
 
-def _tokens(line: Column, masked: bool) -> Column:
-    spaced = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
-    return F.split(F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "0") if masked else spaced, " +", -1)
+def _spaced(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
 
 
-def _templates(line: Column) -> Column:
-    """The template keys of a line that is not blank."""
+def _exact(line: Column) -> Column:
+    """A hash of the line's tokens."""
+    return F.xxhash64(F.when(F.instr(line, "  ") > 0, F.regexp_replace(line, " +", " ")).otherwise(line))
 
-    def literal(t: Column) -> Column:
-        return F.size(F.filter(t, lambda x: x != "0"))
+
+def _templates(line: Column) -> Column:
+    """The template keys of a spaced line that is not blank."""
+    none = F.array().cast("array<bigint>")
 
     def enough(n: Column, literals: Column) -> Column:
         return (literals >= LITERALS) & (2 * literals >= n)
 
-    def keys(t: Column) -> Column:
-        n, literals = F.size(t), literal(t)
-        whole = F.when(enough(n, literals) & (literals < n), F.array(F.xxhash64(F.lit(-1), t))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(n < OPEN_FROM, whole).otherwise(fielded(t, n, literals))
+    def literal(t: Column) -> Column:
+        return F.size(F.array_remove(t, "0"))
 
-    def fielded(t: Column, n: Column, literals: Column) -> Column:
-        width = F.floor(n * OPEN_TENTHS / 10).cast("int")
-        fields = [F.slice(t, 2 + width * k, width) for k in range(FIELDS)]
-        # each field's hash and literals are computed once
-        parts = F.array(F.struct(F.xxhash64(n, t[0]).alias("h"), F.lit(0).alias("l")), *[F.struct(F.xxhash64(f).alias("h"), literal(f).alias("l")) for f in fields])
+    def fields(t: Column, width: Column) -> list[Column]:
+        return [F.slice(t, 2 + width * k, width) for k in range(FIELDS)]
+
+    def keys(parts: Column, n: Column, width: Column) -> Column:
+        """A key for each field left open, of the hashes of the start and of the fields."""
+        made = bind(parts, lambda p: F.array(*[F.xxhash64(F.lit(k), *[p[j] for j in range(FIELDS + 1) if j != k + 1]) for k in range(FIELDS)]))
+        return F.slice(made, F.lit(1), F.ceil((n - 1) / width).cast("int"))
+
+    def hashes(t: Column, n: Column, width: Column) -> Column:
+        return F.array(F.xxhash64(n, t[0]), *[F.xxhash64(f) for f in fields(t, width)])
 
-        def each(p: Column) -> Column:
-            made = [F.when(enough(n, literals - p[k + 1]["l"]), F.xxhash64(F.lit(k), *[p[j]["h"] for j in range(FIELDS + 1) if j != k + 1])) for k in range(FIELDS)]
-            return F.filter(F.slice(F.array(*made), F.lit(1), F.ceil((n - 1) / width).cast("int")), lambda x: x.isNotNull())
+    # without digits, a line of OPEN_FROM tokens is literal enough whichever field is open, and a shorter one has no template
+    def of_words(t: Column) -> Column:
+        n = F.size(t)
+        width = F.floor(n * OPEN_TENTHS / 10).cast("int")
+        return F.when(n < OPEN_FROM, none).otherwise(keys(hashes(t, n, width), n, width))
 
-        return bind(parts, each)
+    def of_mixed(t: Column) -> Column:
+        n, literals = F.size(t), literal(t)
+        width = F.floor(n * OPEN_TENTHS / 10).cast("int")
+        short = F.when(enough(n, literals), F.array(F.xxhash64(F.lit(-1), t))).otherwise(none)
+        able = F.array(*[enough(n, literals - literal(f)) for f in fields(t, width)])
+        long = F.filter(F.transform(keys(hashes(t, n, width), n, width), lambda key, k: F.when(able[k], key)), lambda key: key.isNotNull())
+        return F.when(n < OPEN_FROM, short).otherwise(long)
 
-    return bind(_tokens(line, masked=True), keys)
+    masked = F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "0")
+    return F.when(line.rlike("[0-9]"), bind(F.split(masked, " +", -1), of_mixed)).otherwise(bind(F.split(line, " +", -1), of_words))
 
 
 def bind(value: Column, use) -> Column:
@@ -72,8 +86,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     # hashed before the lines are laid out: beside them, the text would go along with each of its lines
     split = docs.filter(F.col(text_col).isNotNull()).select(_doc(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.split(text_col, "\n", -1).alias("lines"))
-    lines = split.select("doc", "text_hash", F.posexplode("lines").alias("pos", "line")).filter(F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")) != "")
-    filed = materialise(lines.select("doc", "text_hash", "pos", F.xxhash64(_tokens(F.col("line"), masked=False)).alias("exact"), _templates(F.col("line")).alias("keys")))
+    lines = split.select("doc", "text_hash", F.posexplode("lines").alias("pos", "line")).withColumn("line", _spaced(F.col("line"))).filter("line <> ''")
+    filed = materialise(lines.select("doc", "text_hash", "pos", _exact(F.col("line")).alias("exact"), _templates(F.col("line")).alias("keys")))
     n_lines = filed.count()
     row = F.xxhash64("doc", "text_hash", "pos")
     same = filed.groupBy("exact").agg(F.min("doc").alias("first"), F.min(row).alias("row"), F.count(F.lit(1)).alias("n"))
