@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh_dir(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, for tables that are kept."""
+    return f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no earlier round."""
     path = f"{shared_dir(df.sparkSession)}/rounds/{uuid.uuid4().hex}"

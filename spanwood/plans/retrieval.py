@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import text as X
+from ..functions import stem as S
+from ..operators import fulltext as FT
 from ..operators import mining as M
 from ..operators import search as R
 from ..sources import files as I
 from ..streaming import changes as C
 from ..streaming import streams as T
+from ..operators.steps import fresh_dir
 from .registry import query
 
 Spark = SparkSession
@@ -69,6 +72,53 @@ def se05_tokenizer(spark: Spark, d: str) -> DataFrame:
     return _docs(spark, d).select("id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
+def _phrased(docs: str) -> str:
+    """BM25 over docs of the phrase `of the` and the word `and`, by word lists."""
+    hits = {"t0": "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))", "t1": "len(list_filter(w, lambda x: x = 'and'))"}
+    tf = f"SELECT id, len(w)::DOUBLE l, {', '.join(f'{v}::DOUBLE {k}' for k, v in hits.items())} FROM ({docs})"
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6::DOUBLE) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in range(2))
+    return f"WITH tf AS ({tf}) SELECT id, round({score}, 8)::DOUBLE score FROM tf, (SELECT count(*)::DOUBLE n, avg(l) a, count(*) FILTER (t0 > 0)::DOUBLE d0, count(*) FILTER (t1 > 0)::DOUBLE d1 FROM tf) WHERE t0 > 0 AND t1 > 0"
+
+
+@query(_bm25(["the", "was"]) + " ORDER BY score DESC, id LIMIT 50")
+def se03_index_top(spark: Spark, d: str) -> DataFrame:
+    held = FT.Index(spark, fresh_dir(spark), S.plain)
+    held.upsert(_docs(spark, d))
+    return held.search("was the", 50)
+
+
+@query(_phrased(_TEXTS))
+def se03_index_phrases(spark: Spark, d: str) -> DataFrame:
+    held = FT.Index(spark, fresh_dir(spark), S.plain)
+    held.upsert(_docs(spark, d))
+    return held.search('"of the" and')
+
+
+def _changed_index(spark: Spark, d: str) -> FT.Index:
+    """An index of documents that came to be what they are by two rounds of changes."""
+    held, docs = FT.Index(spark, fresh_dir(spark), S.plain), _docs(spark, d)
+    passing = docs.filter("id % 5 = 1").withColumn("id", -F.col("id"))
+    held.upsert(docs.filter("id % 10 <> 9").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat(F.lit("of the old and of the new "), "text")).otherwise(F.col("text"))).unionByName(passing))
+    held.upsert(docs.filter("id % 7 = 0 or id % 10 = 9").withColumn("text", F.when(F.col("id") % 3 == 0, F.lit("and of the moment")).otherwise(F.col("text"))), removed=passing)
+    held.upsert(docs.filter("id % 3 = 0"), removed=passing.withColumn("id", F.col("id") - 1))
+    return held
+
+
+@query(_phrased(_TEXTS))
+def se04_index_synced(spark: Spark, d: str) -> DataFrame:
+    return _changed_index(spark, d).search('"of the" and')
+
+
+@query(_bm25(["the", "was"]) + " ORDER BY score DESC, id LIMIT 50")
+def se04_index_compacted(spark: Spark, d: str) -> DataFrame:
+    return _changed_index(spark, d).compact(fresh_dir(spark)).search("was the", 50)
+
+
+@query()
+def se05_stems(spark: Spark, d: str) -> DataFrame:
+    return _docs(spark, d).mapInArrow(FT.tokenised(S.stems), "id long, n_tokens int, stems string")
+
+
 _NEAR = "SELECT vec_id id, round(sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 8) distance FROM embeddings"
 
 
