@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import diff
 from ..functions import text as X
 from .search import bm25, fuse, nearest
 from .traverse import importer_files, neighbours
@@ -201,22 +201,11 @@ def first_backups(changes: DataFrame, by: list[str], order: list[str]) -> DataFr
 
 def _diffs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for old, new in batches:
-        rows = []
-        for a, b in zip(old, new, strict=True):
-            x, y = (a or "").split("\n"), (b or "").split("\n")
-            n, hunks = {"equal": 0, "insert": 0, "delete": 0}, []
-            for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                n["equal"] += j - i if tag == "equal" else 0
-                n["delete"] += j - i if tag in ("delete", "replace") else 0
-                n["insert"] += m - k if tag in ("insert", "replace") else 0
-                if tag != "equal":
-                    hunks += [f"-{s}" for s in x[i:j]] + [f"+{s}" for s in y[k:m]]
-            rows.append((*n.values(), "\n".join(hunks)))
-        yield pd.DataFrame(rows, columns=["equal", "insert", "delete", "hunks"])
+        yield pd.DataFrame([diff.line_diff(a or "", b or "") for a, b in zip(old, new, strict=True)], columns=["equal", "insert", "delete", "hunks"])
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """struct (equal, insert, delete: lines; hunks: their lines after - and +) of two texts, by longest matching runs of lines."""
+    """struct (equal, insert, delete: lines; hunks: their lines after - and +) of two texts, by a shortest edit script; null is empty."""
     return F.pandas_udf(_diffs, "equal long, insert long, delete long, hunks string")(old, new)
 
 

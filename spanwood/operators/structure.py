@@ -131,41 +131,6 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(ends, "node", "left").select(F.col("node").alias("id"), (F.coalesce("d", F.lit(0)) / others).alias("centrality"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, betweenness) by Brandes' accumulation over all sources, directed, over (n - 1)(n - 2).
-
-    Shortest-path counts go out level by level and dependencies come back, keyed by (source, node); parallel edges count
-    as paths of their own.
-    """
-    ids = cut(_ids(nodes))
-    n = ids.count()
-    ways = cut(edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count(F.lit(1)).alias("w")).filter("src <> dst"))
-    level = cut(ids.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("paths")))
-    met, tiers = level.select("root", "node"), [level]
-    while True:
-        step = level.join(ways, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum(F.col("paths") * F.col("w")).alias("paths"))
-        level = cut(step.join(met, ["root", "node"], "left_anti"))
-        if level.isEmpty():
-            break
-        tiers.append(level)
-        met = met.unionByName(level.select("root", "node"))
-    total, below = None, None
-    for tier in reversed(tiers[1:]):
-        if below is None:
-            own = tier.withColumn("dep", F.lit(0.0))
-        else:
-            came = below.select("root", F.col("node").alias("dst"), ((1 + F.col("dep")) / F.col("paths")).alias("share")).join(ways, "dst")
-            came = came.select("root", F.col("src").alias("node"), (F.col("share") * F.col("w")).alias("x")).groupBy("root", "node").agg(F.sum("x").alias("x"))
-            own = tier.join(came, ["root", "node"], "left").select("root", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("dep"))
-        below = cut(own)
-        part = below.select("node", "dep")
-        total = part if total is None else total.unionByName(part)
-    scale = max((n - 1) * (n - 2), 1)
-    if total is None:
-        return ids.select(F.col("node").alias("id"), F.lit(0.0).alias("betweenness"))
-    return ids.join(total.groupBy("node").agg(F.sum("dep").alias("dep")), "node", "left").select(F.col("node").alias("id"), (F.coalesce("dep", F.lit(0.0)) / scale).alias("betweenness"))
-
-
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, clustering): directed edges among a node's neighbours (either direction, loops aside) over k(k - 1).
 

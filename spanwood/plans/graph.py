@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import structure as S
 from ..operators import traverse as T
+from ..operators.betweenness import betweenness
 from .registry import query
 
 Spark = SparkSession
@@ -172,7 +173,7 @@ def gr20_degree_centrality(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def gr21_betweenness(spark: Spark, d: str) -> DataFrame:
-    return S.betweenness(V.nodes(spark, d), V.edges(spark, d).filter(_INHERIT)).select("id", F.round("betweenness", 12).alias("betweenness"))
+    return betweenness(V.nodes(spark, d), V.edges(spark, d)).select("id", F.round("betweenness", 12).alias("betweenness"))
 
 
 @query("""WITH e AS (SELECT DISTINCT source_id s, target_id t FROM g_dense WHERE source_id <> target_id), b AS (SELECT s, t FROM e UNION SELECT t, s FROM e), k AS (SELECT s id, count(*) k FROM b GROUP BY s),

@@ -237,6 +237,14 @@ def fn26_line_diff(spark: Spark, d: str) -> DataFrame:
     return docs.select("doc_id", P.line_diff(F.col("old"), F.col("new")).alias("x")).select("doc_id", "x.*")
 
 
+@query()
+def fn26_document_diff(spark: Spark, d: str) -> DataFrame:
+    """Each document against the one of the next id."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new")), "doc_id")
+    return pairs.select("doc_id", P.line_diff(F.col("text"), F.col("new")).alias("x")).select("doc_id", "x.*")
+
+
 # exports and snapshots
 
 

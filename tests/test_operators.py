@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanwood.functions import text as X
 from spanwood.operators import search as R
 from spanwood.operators import structure as S
+from spanwood.operators.betweenness import betweenness
 from spanwood.operators import traverse as T
 from spanwood.sources import files as I
 from spanwood.streaming import streams
@@ -73,7 +74,7 @@ def test_betweenness_against_brute_force(spark):
     for s, t, v in product(out, out, out):
         if len({s, t, v}) == 3 and t in all_[s][0] and v in all_[s][0] and t in all_[v][0] and all_[s][0][v] + all_[v][0][t] == all_[s][0][t]:
             want[v] += all_[s][1][v] * all_[v][1][t] / all_[s][1][t]
-    got = dict(map(tuple, S.betweenness(nodes, edges).collect()))
+    got = dict(map(tuple, betweenness(nodes, edges).collect()))
     assert all(abs(got[v] - want[v] / 20) < 1e-12 for v in out)
 
 
