@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import text as X
+from ..functions import pieces as P
 from ..functions import stem as S
+from ..operators import assembly as A
 from ..operators import fulltext as FT
 from ..operators import mining as M
 from ..operators import search as R
@@ -183,6 +185,31 @@ def se14_rerank(spark: Spark, d: str) -> DataFrame:
     return R.rerank(_docs(spark, d), "was the").select("id", "score")
 
 
+@query()
+def fn08_structured_pieces(spark: Spark, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("id", F.explode(P.text_pieces(F.col("text"), F.concat(F.lit("doc "), "id"), 400)).alias("p"))
+    return rows.select("id", "p.index", F.md5("p.text").alias("md5"), "p.is_original")
+
+
+def _hits(spark: Spark, d: str) -> DataFrame:
+    """For each scope as a query its symbols as hits, best first, with documents as their contents."""
+    nodes = V.nodes(spark, d)
+    source = F.when(F.col("id") % 4 == 0, "keyword").when(F.col("id") % 4 == 1, "graph:calls").when(F.col("id") % 4 == 2, "graph:called_by").otherwise("imports")
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("id") % 7, "id"))
+    hits = nodes.select(F.col("scope").alias("query"), rank.alias("rank"), "file", (F.col("line") % 9).alias("line"), "name", "kind", source.alias("source"), (F.col("id") % 4).cast("int").alias("depth"), "id")
+    return hits.filter("rank <= 25").join(_docs(spark, d).withColumnRenamed("text", "content"), "id", "left").drop("id")
+
+
+@query()
+def se13_sections(spark: Spark, d: str) -> DataFrame:
+    return A.assembled(_hits(spark, d), "understand_function").withColumn("content", F.md5("content"))
+
+
+@query()
+def se13_sections_passed_on(spark: Spark, d: str) -> DataFrame:
+    return A.assembled(_hits(spark, d), "change_impact", budget=3000, pass_on=True).withColumn("content", F.md5("content"))
+
+
 @query(f"SELECT id, array_to_string(list_transform(string_split('0123456789abcdef', ''), lambda c: CAST(len(list_filter(w, lambda x: md5(x)[1] = c)) AS VARCHAR)), ',') AS counts FROM ({_TEXTS})")
 def se15_hashed_embedding(spark: Spark, d: str) -> DataFrame:
     w = X.words(F.coalesce("text", F.lit("")))
