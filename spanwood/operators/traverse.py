@@ -178,29 +178,3 @@ def path_lengths(counts: DataFrame) -> DataFrame:
     """Diameter and average length of path_counts()."""
     average = F.sum(F.col("distance") * F.col("pairs")) / F.sum("pairs")
     return counts.agg(F.coalesce(F.max("distance"), F.lit(0)).alias("diameter"), F.round(F.coalesce(average, F.lit(0.0)), 8).alias("average_path"))
-
-
-def processes(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, branching: int = 4, least_steps: int = 3, most: int = 75) -> DataFrame:
-    """Processes: (entry, step, id, depth) traces of the best entry points.
-
-    An entry's score is callees over callers plus one, one more if exported, 2 more for names like handle, run, main and
-    -5 in test files. From each entry, at most `branching` new callees of a node (smallest ids) go on, level by level;
-    a trace of fewer than `least_steps` steps is left out. Traces are limited to the `most` best entries, as a report.
-    """
-    calls = cut(arrows(edges.filter("kind = 'calls'")))
-    out_n = calls.groupBy(F.col("src").alias("id")).agg(F.count("dst").alias("callees"))
-    in_n = calls.groupBy(F.col("dst").alias("id")).agg(F.count("src").alias("callers"))
-    named = F.when(F.col("name").rlike("(?i)^(main|run|start|init|handle|on|process|execute)"), 2.0).otherwise(0.0)
-    score = F.col("callees") / (F.coalesce("callers", F.lit(0)) + 1) + F.col("exported").cast("int") + named - F.when(F.col("file").rlike("(?i)test"), 5.0).otherwise(0.0)
-    entries = nodes.join(out_n, "id").join(in_n, "id", "left").select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(most)
-    met = frontier = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).alias("depth")))
-    for depth in range(1, max_depth + 1):
-        turn = Window.partitionBy("entry", "src").orderBy("id")
-        step = frontier.select("entry", F.col("id").alias("src")).join(calls, "src").select("entry", "src", F.col("dst").alias("id"))
-        step = step.join(met.select("entry", "id"), ["entry", "id"], "left_anti").withColumn("k", F.row_number().over(turn)).filter(F.col("k") <= branching)
-        frontier = cut(step.select("entry", "id").distinct().withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        met = met.unionByName(frontier)
-    w = Window.partitionBy("entry")
-    return met.withColumns({"step": F.row_number().over(w.orderBy("depth", "id")), "__n": F.count(F.lit(1)).over(w)}).filter(F.col("__n") >= least_steps).select("entry", "step", "id", "depth")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..operators import entries as E
 from ..operators import structure as S
 from ..operators import traverse as T
 from ..operators.betweenness import betweenness
@@ -232,9 +233,38 @@ def gr28_entry_points(spark: Spark, d: str) -> DataFrame:
     return V.nodes(spark, d).filter("exported AND kind IN ('function', 'method')").filter(F.col("name").rlike("^green|bolt$")).select("id", "name")
 
 
+_CODE_NAMES = "array('main', 'handle', 'On', 'getUser', 'do_post', 'x_handler', 'runJob', 'UserController', 'index', 'plain', 'perform_', 'Execute')"
+_EXTENSIONS = "array('.go', '.py', '.java', '.rs', '.rb', '.php', '.c', '.cpp', '.cs', '.js', '.ts', '.tsx', '_test.go')"
+
+
+def _code_nodes(spark: Spark, d: str) -> DataFrame:
+    """Nodes with names and files as code has them."""
+    name = F.expr(f"concat(element_at({_CODE_NAMES}, cast(id % 12 AS int) + 1), CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '_item' WHEN 2 THEN 'Item' WHEN 3 THEN '_action' ELSE 'Service' END)")
+    file = F.expr(f"replace(file, '.go', element_at({_EXTENSIONS}, cast(id % 13 AS int) + 1))")
+    return V.nodes(spark, d).withColumns({"name": name, "file": file})
+
+
+_CODE_SQL = f"""n AS (SELECT id, kind, exported, replace(file, '.go', {_EXTENSIONS.replace('array(', '[').replace(')', ']')}[CAST(id % 13 + 1 AS INTEGER)]) AS file,
+  {_CODE_NAMES.replace('array(', '[').replace(')', ']')}[CAST(id % 12 + 1 AS INTEGER)] || CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '_item' WHEN 2 THEN 'Item' WHEN 3 THEN '_action' ELSE 'Service' END AS name FROM g_nodes)"""
+_ENTRY = "regexp_matches(name, '" + "|".join(E.ANY) + "')"
+_OWN = "CASE " + " ".join(f"WHEN regexp_matches(file, '[.]{e[1:]}$') THEN regexp_matches(name, '{'|'.join(p)}')" for e, p in E.BY_EXTENSION.items()) + " ELSE false END"
+
+
+@query(f"WITH {_CODE_SQL} SELECT id, {_ENTRY} universal, {_OWN} own FROM n")
+def fn23_entry_names(spark: Spark, d: str) -> DataFrame:
+    return _code_nodes(spark, d).select("id", E.universal(F.col("name")).alias("universal"), E.of_language(F.col("name"), F.col("file")).alias("own"))
+
+
+@query(f"""WITH {_CODE_SQL}, o AS (SELECT source_id id, count(*) c FROM g_edges WHERE kind = 'calls' GROUP BY 1), i AS (SELECT target_id id, count(*) c FROM g_edges WHERE kind = 'calls' GROUP BY 1),
+  s AS (SELECT n.id, name, file, round(o.c / (coalesce(i.c, 0) + 1)::DOUBLE + exported::INT + 2 * ({_ENTRY})::INT + 1.5::DOUBLE * ({_OWN})::INT - CASE WHEN contains(file, '_test.') THEN 5 ELSE 0 END, 8)::DOUBLE score
+    FROM n JOIN o USING (id) LEFT JOIN i USING (id) WHERE kind IN ('function', 'method')) SELECT * FROM s WHERE score > 0""")
+def gr28_scored_entry_points(spark: Spark, d: str) -> DataFrame:
+    return E.entry_points(_code_nodes(spark, d), V.edges(spark, d))
+
+
 @query()
 def gr30_processes(spark: Spark, d: str) -> DataFrame:
-    return T.processes(V.nodes(spark, d), V.edges(spark, d))
+    return E.processes(_code_nodes(spark, d), V.edges(spark, d))
 
 
 @query("SELECT source_id, target_id, e.kind FROM g_edges e JOIN g_nodes a ON a.id = source_id JOIN g_nodes b ON b.id = target_id WHERE e.kind IN ('calls', 'extends') AND a.kind IN ('class', 'function') AND b.kind IN ('class', 'function')")
