@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 
 def neighbours(nodes: DataFrame, edges: DataFrame, of: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
     """Distinct nodes one edge away from any of `of`: 'in' for sources of edges into it, 'out' for targets."""
@@ -157,17 +159,48 @@ def best_match(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def by_suffix(wants: DataFrame, files: DataFrame) -> DataFrame:
-    """Resolve path suffixes (suffix, ...) to files (path): every suffix of a path is a key of an equi-join; the first path wins."""
+    """Resolve path suffixes (suffix, ...) to files (path): every suffix of a path is a key; the first path of each wins.
+
+    The least path of a suffix is taken before the join, so a suffix that many paths share is one row there.
+    """
     p = F.split("path", "/", -1)
     suffixes = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), "/"))).alias("suffix"))
-    return wants.join(suffixes, "suffix").groupBy(*wants.columns).agg(F.min("path").alias("path"))
+    return wants.distinct().join(suffixes.groupBy("suffix").agg(F.min("path").alias("path")), "suffix")
+
+
+#: Distinct methods that a bitmap of an owner's methods counts in, so that most owners that lack one are told before a join.
+SKETCH = 64
 
 
 def structural_subtypes(structs: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """Structs whose methods hold all of an interface's (relational division by counting); owner, method on both sides."""
-    need = interfaces.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    both = structs.withColumnRenamed("owner", "struct").join(interfaces.withColumnRenamed("owner", "iface"), "method").groupBy("struct", "iface").agg(F.count(F.lit(1)).alias("c"))
-    return both.join(need.withColumnRenamed("owner", "iface"), "iface").filter("c = n").select("struct", "iface", F.lit(0.8).alias("confidence"))
+    """Structs whose methods hold all of an interface's; owner, method on both sides, (struct, iface, confidence).
+
+    Relational division by candidates: an interface meets only the structs that have its rarest method, and of these only
+    those whose bitmap of methods covers its own; each such pair is then verified method by method. A method that all
+    structs have is looked up as the rarest only of interfaces that ask for nothing rarer. Interfaces of equal sets of
+    methods are one class, and so are structs, and meet once.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(method), {SKETCH}) AS INT))")
+
+    def classes(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(owner, class) and (class, methods, bits) of rows(owner, method): a class is a set of methods."""
+        sets = rows.distinct().groupBy("owner").agg(F.array_sort(F.collect_list("method")).alias("methods"), F.bit_or(bit).alias("bits"))
+        keyed = sets.withColumn(name, F.sha2(F.to_json(F.struct("methods")), 256))
+        return keyed.select("owner", name), keyed.dropDuplicates([name]).select(name, "methods", "bits")
+
+    of_struct, struct_sets = classes(structs, "s")
+    of_iface, iface_sets = classes(interfaces, "i")
+    struct_sets, iface_sets = cut(struct_sets), cut(iface_sets)
+    held = struct_sets.select("s", F.explode("methods").alias("method"))
+    common = held.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    asked = iface_sets.select("i", F.explode("methods").alias("method")).join(common, "method", "left")
+    # a method that no struct has rules the interface out: its count is null, which comes first
+    rarest = asked.groupBy("i").agg(F.min(F.struct("n", "method")).alias("r")).filter("r.n is not null").select("i", "r.method")
+    wants = rarest.join(iface_sets.select("i", "methods", F.col("bits").alias("asked")), "i").withColumnRenamed("methods", "need")
+    offers = held.join(struct_sets, "s")
+    pairs = wants.join(offers, "method").filter(F.col("asked").bitwiseAND(F.col("bits")) == F.col("asked")).filter(F.size(F.array_except("need", "methods")) == 0).select("s", "i")
+    found = pairs.join(of_struct.withColumnRenamed("owner", "struct"), "s").join(of_iface.withColumnRenamed("owner", "iface"), "i")
+    return found.select("struct", "iface", F.lit(0.8).alias("confidence"))
 
 
 def rule_violations(edges: DataFrame, nodes: DataFrame, rules: list[tuple[int, str, str, str]], most: int) -> DataFrame:

@@ -27,22 +27,41 @@ def _settle(labels: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     labels, last = cut(labels), None
     while (total := _total(labels)) != last:
         last = total
+        before = labels
         for _ in range(hops):
             labels = _lowered(labels, edges)
         labels = cut(labels)
+        discard(before)
     return labels
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id joined to it when directions are ignored. Least labels with pointer jumping."""
-    ways = cut(both_ways(simple(nodes, edges)))
-    labels, last = cut(_ids(nodes).withColumn("label", F.col("node"))), None
-    while (total := _total(labels)) != last:
-        last = total
-        lower = _lowered(labels, ways)
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = cut(lower.join(jump, "label").select("node", F.least("label", "next").alias("label")))
-    return labels.select(F.col("node").alias("id"), F.col("label").alias("component"))
+    """(id, component): the least id joined to it when directions are ignored.
+
+    Large-star and small-star contractions in turn (Kiveris et al., 2014): each links every neighbour to the least one
+    around, first of a node's larger neighbours, then of the others, until all hang on their component's least node. A round
+    joins on nodes, never on labels, so a component of most nodes is no key of its own; rounds grow with the logarithm of
+    a component's size. A round's table goes when the next one stands.
+    """
+    ids = cut(_ids(nodes))
+    links = cut(simple(nodes, edges).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state, last = _state(links), None
+    while state != last:
+        last = state
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, links = links, cut(small.filter("u <> v").distinct())
+        state = _state(links)
+        discard(before)
+    return ids.join(links.select(F.col("u").alias("node"), "v"), "node", "left").select(F.col("node").alias("id"), F.coalesce("v", "node").alias("component"))
+
+
+def _state(links: DataFrame) -> tuple:
+    """What tells whether a round changed links(u, v)."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,7 +115,9 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return levels(nodes, edges).agg((F.count(F.lit(1)) == F.count("level")).alias("is_dag"))
+    """One row, is_dag: whether no two nodes are on a common cycle, loops aside; it takes the rounds that strong components take."""
+    sizes = strong_components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg((F.coalesce(F.max("n"), F.lit(1)) == 1).alias("is_dag"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> DataFrame:
