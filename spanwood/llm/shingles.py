@@ -7,8 +7,8 @@ import re
 import numpy as np
 import xxhash
 
-#: Words that a memo of hashes holds before it starts anew (about 20 MB).
-MEMO = 120_000
+#: Words that a memo of hashes holds before it starts anew (about 10 MB).
+MEMO = 60_000
 SPACE = re.compile("[\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]

@@ -32,7 +32,7 @@ STEPS, EPOCHS, MINIBATCH, STEP_WORDS, RATE = 400, 3, 48, 60_000, 0.15
 #: Bins of a logit's unit and the largest logit told apart; all languages' rows weigh in a language as so many toxic ones.
 BINS, FAR, SHARED_TOXIC = 50, 40, 5.0
 #: The score that a text at its language's threshold gets, and words whose filters a worker remembers.
-CUT, MEMO = 0.3, 80_000
+CUT, MEMO = 0.3, 50_000
 
 #: Fixed lists: frequent function words of each language.
 FUNCTION_WORDS = {
