@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, components, hot_join, materialise
+from .common import blank, components, fresh, hot_join, materialise
 from .shingles import Shingler, mix
 
 RING = 1 << 20
@@ -140,8 +140,9 @@ def near_duplicates(
     component are filed anew, by prefixes of their sets (rarest shingles first), which no similar pair can miss. There,
     each bucket's centre is the class that its shingle comes first in, the least changed of a group of copies, and all
     others are compared with it. Pairs that are then still apart are compared if the bounds on their sizes and on their
-    places in the bucket allow a link. So every candidate pair is verified, excluded by a bound, or connected already. 32 bands of 6 miss a pair of similarity 0.85 with a chance under 1 in 3
-    million.
+    places in the bucket allow a link. So every candidate pair is verified, excluded by a bound, or connected already. A
+    pair that shares no band is no candidate: of 32 bands of 6, one of similarity 0.85 misses all with a chance under 1 in
+    3 million.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), blank(text_col).alias("text"))
     sketch = materialise(_sketch(docs, id_col, text_col, bands, rows, size))
@@ -183,11 +184,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Documents without words are kept, as they are like no other. Of rows with one id and text, one is kept (the one
     whose other columns hash lowest).
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept")).distinct()
-    keyed = docs.withColumns({"__own": F.col(id_col).cast("long"), "__hash": _text_hash(text_col)})
-    own = keyed.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__own", "__hash").orderBy(F.xxhash64(*docs.columns)))
-    return own.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    own, hashed, turn = fresh(docs, "own", "hash", "turn")
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    keyed = docs.withColumns({own: F.col(id_col).cast("long"), hashed: _text_hash(text_col)})
+    mine = keyed.join(kept, keyed[own].eqNullSafe(kept["kept_id"]) & (keyed[hashed] == kept["kept_hash"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(own, hashed).orderBy(F.xxhash64(*docs.columns)))
+    return mine.withColumn(turn, first).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:

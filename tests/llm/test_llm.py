@@ -297,10 +297,10 @@ def test_toxicity_thresholds_move_without_a_switch():
 
 def test_line_dedup_keeps_first_copies(spark):
     line = "at 10:45 the server took 12 ms to answer the client in the second room of the house"
-    other = line.replace("12", "99").replace("10:45", "11:02")
-    df = spark.createDataFrame([(1, f"intro one\n{line}"), (2, f"{other}\nunlike anything before"), (3, None), (4, ""), (5, "short\nshort")], "doc_id long, text string")
+    other, third = line.replace("12", "99").replace("10:45", "11:02"), line.replace("12", "5").replace("client", "gentle guest")
+    df = spark.createDataFrame([(1, f"intro one\n{line}"), (2, f"{other}\nunlike anything before"), (3, None), (4, ""), (5, "short\nshort"), (6, f"end\n{line.replace('12', '7')}"), (7, third), (8, f"  {line} ")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
-    assert got == {1: f"intro one\n{line}", 2: "unlike anything before", 3: None, 4: "", 5: "short\nshort"}
+    assert got == {1: f"intro one\n{line}", 2: "unlike anything before", 3: None, 4: "", 5: "short\nshort", 6: "end", 7: third, 8: ""}
 
 
 def test_word_bpe_is_the_library(docs):

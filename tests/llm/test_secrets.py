@@ -1,6 +1,7 @@
 """The assignment lexer: planted literals of many syntaxes, and generated files whose secrets are known."""
 
 import random
+import time
 
 import pytest
 
@@ -84,3 +85,19 @@ def test_base_spans_cover_pairs_in_one_sweep():
     text = "".join(f'token = "abc{k}defgh123"\n' for k in range(3000)) + f'db_pwd = "{V}"'
     base, all_ = secrets.spans(text)
     assert len(base) == 3000 and [k for _, k, _ in all_].count("pair") == 1
+
+
+@pytest.mark.parametrize("unit", ["# ", "// ", "<!-- ", "/* ", "-- ", "#", "<password>a" + " " * 500, "\"'`", "<<a ", "<<a\n", "{a=b", "{q=z;", "<tag " + "a" * 1000, '"""', "a: |\n ", "password: ", "token=token=", '\\"', "password=\"", "  - password:\n", '""" # '])
+def test_long_odd_texts(unit):
+    """A megabyte of signs that open something takes seconds, and hides no secret before it."""
+    text = 'password = "hunter2hunter2"\n' + unit * (1_000_000 // len(unit))
+    began = time.time()
+    base, found = secrets.spans(text)
+    assert time.time() - began < 15 and base[0][:2] == (0, "assign") and found[0] == base[0]
+
+
+def test_comments_in_comments():
+    text = "# // see # password_key := zX81pQ77mmLw02kk9\n/* // <!-- api_secret: 'qW9zX81pQ77mmLw02' */"
+    assert [text[a:b] for a, b in secrets.pairs(text)] == ["zX81pQ77mmLw02kk9", "qW9zX81pQ77mmLw02"]
+    text = "<password>\n   zX81pQ77mmLw02kk9   \n</password>"
+    assert [text[a:b] for a, b in secrets.pairs(text)] == ["zX81pQ77mmLw02kk9"]
