@@ -9,10 +9,10 @@ and its length in bytes; likeness of two is the length they share over the lengt
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -128,59 +128,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty; an empty text has an empty fingerprint. Rows of one id follow each other by the hash of their texts; null
     ids come last. A single row is its own next. Other columns are not read.
 
-    Ids are cut into slices at approximate quantiles, so that each slice's rows, sorted, pass through one task as a
-    stream and a text is shuffled once. Each slice ends with a guest, the first row of the slice after it. A third of
-    all rows under one id would share a slice: their hash parts them further, since ties are ordered by it.
+    Ids are cut into slices at borders that a sample of ids gives, so that each slice's rows, sorted, pass through one task
+    as a stream and a text is shuffled once. Borders go to the tasks as arrays (at most 0.5 MB), so the plan is the same for
+    any number of slices. Each slice ends with a guest, the first row of the slice after it. An id that fills several slices
+    is parted by the hashes of its texts; rows of one id and text stay together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    # order: ids downward, then ties upward; nulls as the smallest id
-    order = rows.withColumn("o", F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")))
-    n = slices or max(8, -(-order.count() // SLICE_ROWS))
-    bounds = _bounds(order, n)
-    if not bounds:
+    # order: ids downward, then ties upward; nulls as the smallest id. The complement of an id falls as the id grows, over the whole range
+    order = rows.withColumn("o", F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))))
+    total = order.count()
+    if not total:
         return spark.createDataFrame([], SCHEMA)
-    at = _slice(F.col("o"), F.col("tie"), bounds)
-    placed = order.withColumn("slice", at)
-    first = _heads(order.select("o", "tie"), bounds)
-    chain = sorted(first)
-    before = {part: chain[k - 1] for k, part in enumerate(chain)}
-    heads = spark.createDataFrame([(before[p], o, t) for p, (o, t) in first.items()], "slice int, o long, tie long")
-    guests = order.join(F.broadcast(heads), ["o", "tie"])  # one row for each slice
-    stream = placed.select("slice", F.lit(False).alias("guest"), "doc_id", "text", "o", "tie").unionByName(guests.select("slice", F.lit(True).alias("guest"), "doc_id", "text", "o", "tie"))
+    n = slices or min(max(8, -(-total // SLICE_ROWS)), MOST_SLICES)
+    at = _placed(_borders(order.select("o"), total, n))("o", "tie")
+    # one row for each slice that has any: the first
+    firsts = order.select("o", "tie", at.alias("slice")).groupBy("slice").agg(F.min(F.struct("o", "tie")).alias("h"))
+    chain = sorted((r["slice"], r["h"]["o"], r["h"]["tie"]) for r in firsts.collect())
+    heads = spark.createDataFrame([(chain[k - 1][0], o, tie) for k, (_, o, tie) in enumerate(chain)], "slice int, o long, tie long")
+    # any of several rows of one id and text will do; what is broadcast has a row for each slice
+    guests = order.join(F.broadcast(heads), ["o", "tie"]).groupBy("slice", "o", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    stream = order.select(at.alias("slice"), F.lit(False).alias("guest"), "doc_id", "text", "o", "tie").unionByName(guests.select("slice", F.lit(True).alias("guest"), "doc_id", "text", "o", "tie"))
     # slices follow each other, so ranges of them are partitions of even sizes where hashes of them would collide
-    dealt = stream.repartitionByRange(len(bounds), "slice").sortWithinPartitions(F.col("slice"), F.col("guest"), F.col("o").desc(), F.col("tie"))
+    dealt = stream.repartitionByRange(len(chain), "slice").sortWithinPartitions("slice", "guest", "o", "tie")
     return dealt.select("slice", "guest", "doc_id", "text").mapInArrow(_in_order, SCHEMA)
 
 
-def _bounds(order: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Borders (o, tie) of n slices, from the first on: an id that fills several slices is cut by its ties."""
-    q = order.stat.approxQuantile("o", [k / n for k in range(n + 1)], 0.2 / n)
-    if not q:
-        return []
-    ids = [int(x) for x in sorted(q, reverse=True)]
-    out = [(2**63 - 1, -(2**63))]
-    for o in sorted(set(ids), reverse=True):
-        k = ids.count(o)
-        # the rows of an id that comes k times among the quantiles fill about k slices
-        out += [(o, -(2**63) + (2**64 // k) * j) for j in range(k)]
-    return out
+#: Most slices, whatever the number of rows, and sampled ids for each.
+MOST_SLICES, SAMPLED = 20_000, 20
 
 
-def _slice(o, tie, bounds: list[tuple[int, int]]):
-    """The number of the last border at or before (o downward, tie upward), looked up in two steps."""
-    own = F.struct((-(o + 1)).alias("o"), tie.alias("t"))
-    step = math.isqrt(len(bounds)) + 1
+def _borders(keys: DataFrame, total: int, n: int) -> np.ndarray:
+    """The first o of each of some n slices, ascending, from a sample of keys(o); an o that comes k times fills about k slices."""
+    share = min(1.0, SAMPLED * n / total)
+    # a row's place in the table tells rows of one id apart; the sample need not be the same twice, as it is taken once
+    picked = keys if share == 1 else keys.filter(F.pmod(F.xxhash64("o", F.monotonically_increasing_id()), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    found = np.sort(np.array([r["o"] for r in picked.collect()], np.int64))
+    return found[np.arange(n) * len(found) // n] if len(found) else np.zeros(1, np.int64)
 
-    def listed(some: list[tuple[int, int]]):
-        return F.array(*[F.struct(F.lit(-(a + 1)).cast("long").alias("o"), F.lit(b).cast("long").alias("t")) for a, b in some])
 
-    coarse = (F.size(F.filter(listed(bounds[::step]), lambda b: b <= own)) - 1) * step
-    return (coarse + F.size(F.filter(F.slice(listed(bounds), coarse + 1, step), lambda b: b <= own))).cast("int")
+def _placed(borders: np.ndarray):
+    """The slice of (o, tie): that of the last border up to o; an o of several borders is dealt over them by ranges of its ties."""
 
+    def run(o: pd.Series, tie: pd.Series) -> pd.Series:
+        key = o.to_numpy(np.int64)
+        low, high = np.searchsorted(borders, key, "left"), np.searchsorted(borders, key, "right")
+        width = high - low
+        # ties as shares of their range, in order
+        part = (tie.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5) * width
+        own = low + np.minimum(part.astype(np.int64), np.maximum(width - 1, 0))
+        return pd.Series(np.where(width > 0, own, np.maximum(low - 1, 0)).astype(np.int32))
 
-def _heads(keys: DataFrame, bounds: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
-    """The first (o, tie) of each slice that has rows: at most one row for each slice comes to the driver."""
-    own = F.struct((-(F.col("o") + 1)).alias("o"), F.col("tie").alias("t"))
-    rows = keys.groupBy(_slice(F.col("o"), F.col("tie"), bounds).alias("s")).agg(F.min(own).alias("h")).collect()
-    return {r["s"]: (-r["h"]["o"] - 1, r["h"]["t"]) for r in rows}
+    return F.pandas_udf(run, "int")

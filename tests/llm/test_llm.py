@@ -251,6 +251,35 @@ def test_fingerprints_against_brute_force(docs):
     assert np.median(edited_likeness) > 0.5
 
 
+def _chained(rows):
+    """(id, sha of the edited text) of each of [(id, text)], the next one being of the next smaller id, and of ties by hash."""
+    import xxhash
+
+    tie = lambda t: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    out = []
+    for k, (i, t) in enumerate(rows):
+        follow = rows[(k + 1) % len(rows)][1]
+        out.append((i, hashlib.sha256((t[: len(t) - len(t) // 3] + follow[: len(t) // 3]).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("slices", [1, 7, 300])
+def test_fingerprints_in_any_slices(spark, slices):
+    """Ids at both ends of their range, one id with many texts, repeated rows and null ids."""
+    rows = [(2**63 - 1, "first " * 9), (-(2**63), "last " * 9), (0, "zero " * 9), (-1, None)]
+    rows += [(77, f"text {k} of one id, which has many of them " * 3) for k in range(60)] + [(k * 10**15, f"apart {k} " * 8) for k in range(-40, 40)] + [(5, "the same row " * 5)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = chunking.fingerprints(df, slices=slices).collect()
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=repr) == _chained(rows)
+
+
+def test_plan_of_fingerprints_does_not_grow(spark):
+    df = spark.range(400).selectExpr("id doc_id", "concat('text ', id) text")
+    sizes = [len(chunking.fingerprints(df, slices=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (8, 300)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
 def test_url_rules(spark):
     urls = ["http://a.org/x", "https://EN.example.org/es/1", "http://example.org/en/12", "http://x.com/fr/", "http://x.com/de/?q", "http://notorg/x", "nothing", None, "", "ftp://com"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
