@@ -249,7 +249,7 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: n, m, largest degrees, density, strong components, largest one, is_dag."""
+    """One row: n, m, average and largest degrees, density, strong components, largest one, is_dag; raw edges count, parallel ones too."""
     ids = _ids(nodes)
     outs = edges.groupBy(F.col("source_id").alias("node")).agg(F.count(F.lit(1)).alias("o"))
     ins = edges.groupBy(F.col("target_id").alias("node")).agg(F.count(F.lit(1)).alias("i"))
@@ -257,8 +257,9 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     base = d.agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("m"), F.max("i").alias("max_in"), F.max("o").alias("max_out")).first()
     sizes = strong_components(nodes, edges).groupBy("component").count().agg(F.count(F.lit(1)).alias("c"), F.max("count").alias("largest")).first()
     n, m = base["n"], base["m"] or 0
-    row = (n, m, base["max_in"], base["max_out"], round(m / (n * (n - 1)), 10) if n > 1 else 0.0, sizes["c"], sizes["largest"], sizes["c"] == n)
-    return nodes.sparkSession.createDataFrame([row], "n long, m long, max_in long, max_out long, density double, n_scc long, largest_scc long, is_dag boolean")
+    mean = round(m / n, 10) if n else 0.0  # as many ends as starts
+    row = (n, m, mean, mean, base["max_in"], base["max_out"], round(m / (n * (n - 1)), 10) if n > 1 else 0.0, sizes["c"], sizes["largest"], sizes["c"] == n)
+    return nodes.sparkSession.createDataFrame([row], "n long, m long, avg_in double, avg_out double, max_in long, max_out long, density double, n_scc long, largest_scc long, is_dag boolean")
 
 
 def fans(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:

@@ -184,7 +184,10 @@ def gr22_clustering(spark: Spark, d: str) -> DataFrame:
     return S.clustering(V.nodes(spark, d), V.dense_edges(spark, d)).select("id", F.round("clustering", 10).alias("clustering"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT source_id s, target_id t FROM g_edges WHERE source_id <> target_id), r(a, b) USING KEY (a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b LEFT JOIN recurring.r x ON x.a = r.a AND x.b = e.t WHERE x.a IS NULL),
+  k AS (SELECT x.a id, least(x.a, min(x.b)) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a), c AS (SELECT coalesce(component, g_nodes.id) component, count(*) size FROM g_nodes LEFT JOIN k ON k.id = g_nodes.id GROUP BY 1),
+  d AS (SELECT (SELECT count(*) FROM g_nodes) n, (SELECT count(*) FROM g_edges) m) SELECT n, m, round(m / n::DOUBLE, 10) avg_in, round(m / n::DOUBLE, 10) avg_out, (SELECT max(i) FROM (SELECT count(*) i FROM g_edges GROUP BY target_id)) max_in,
+  (SELECT max(o) FROM (SELECT count(*) o FROM g_edges GROUP BY source_id)) max_out, round(m / (n * (n - 1))::DOUBLE, 10) density, (SELECT count(*) FROM c) n_scc, (SELECT max(size) FROM c) largest_scc, (SELECT max(size) = 1 FROM c) is_dag FROM d""")
 def gr23_metrics(spark: Spark, d: str) -> DataFrame:
     return S.metrics(V.nodes(spark, d), V.edges(spark, d))
 

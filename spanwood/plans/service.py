@@ -16,6 +16,7 @@ from ..operators import search as R
 from ..operators import service as P
 from ..operators import structure as S
 from ..operators import traverse as T
+from ..operators.sequence import call_sequence
 from ..operators.steps import shared_dir
 from ..sources import files as I
 from ..streaming import changes as C
@@ -132,6 +133,11 @@ def gr12_participants(spark: Spark, d: str) -> DataFrame:
     return m.select(F.explode(F.array("from_file", "to_file")).alias("participant")).distinct()
 
 
+@query()
+def gr12_call_sequence(spark: Spark, d: str) -> DataFrame:
+    return call_sequence(_n(spark, d), V.edges(spark, d), 797)
+
+
 _SHOWN = "n AS (SELECT * FROM g_nodes WHERE kind IN ('class', 'function')), e AS (SELECT * FROM g_edges WHERE kind IN ('calls', 'extends') AND source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)), c AS (SELECT source_id id FROM e UNION SELECT target_id FROM e)"
 
 

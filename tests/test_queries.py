@@ -9,7 +9,7 @@ from spanwood.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"gr13_cycles_all_kinds", "gr16_louvain", "gr23_metrics"}
+SLOW = {"gr13_cycles_all_kinds", "gr16_louvain"}
 
 
 @pytest.fixture(scope="module")
