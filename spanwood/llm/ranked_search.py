@@ -58,7 +58,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def splits(docs: DataFrame) -> bisection.Tree:
     """The tree of a sample of docs(doc_id, text): some SAMPLE rows by a hash of their id, never more; at most 12 MB of buckets."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("text")
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select(blank("text").alias("text"))
     found = picked.mapInArrow(_sketch, "terms array<int>").limit(SAMPLE).collect()
     return bisection.fit(sorted((np.array(r.terms, np.int32) for r in found), key=lambda d: d.tobytes()))
 
