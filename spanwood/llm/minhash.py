@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, components, fresh, hot_join, materialise
+from .common import blank, components, fresh, hot_join, materialise, tidy
 from .shingles import Shingler, mix
 
 RING = 1 << 20
@@ -54,6 +54,10 @@ def _worker(bands: int, rows: int, size: int) -> tuple[Shingler, Circulant]:
     return Shingler(size), Circulant(bands, rows)
 
 
+#: Sets of shingles that a task hands on at once.
+SET_ROWS = 1_000
+
+
 def _class(shingles: np.ndarray) -> int:
     """A 64-bit name of a shingle set; sets of equal name are taken as equal."""
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -72,6 +76,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
                 cls.append(_class(s) if len(s) else None)
                 keys.append(circulant.keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "n_shingles", "cls", "keys"])
+        tidy()
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("text_hash"), blank(text_col).alias("text"))
     return plain.mapInArrow(run, "id long, text_hash long, n_shingles long, cls long, keys array<long>")
@@ -87,8 +92,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _worker(1, 1, size)[0]
         for batch in batches:
-            found = [s for s in (shingle(t.as_py()) for t in batch.column(0)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cls", "shingles"])
+            for at in range(0, batch.num_rows, SET_ROWS):
+                found = [s for s in (shingle(t.as_py()) for t in batch.column(0).slice(at, SET_ROWS)) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_class, found), pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cls", "shingles"])
+        tidy()
 
     return docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
 

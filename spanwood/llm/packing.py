@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, gapless_rank, materialise
+from .common import blank, gapless_rank, materialise, tidy
 from . import word_bpe
 
 
@@ -84,6 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
                         col.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), blank(text_col).alias("text")).mapInArrow(cut, PIECES)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assignments import Assigned, Lexer
-from .common import blank
+from .common import blank, tidy
 
 # Fixed patterns. Letters of names match in either case, ASCII only.
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
@@ -246,8 +246,10 @@ def masked(text: str | None) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def _masked_series(texts: pd.Series) -> pd.Series:
-    return texts.map(masked, na_action="ignore")
+def _masked_series(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(masked, na_action="ignore")
+    tidy()
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank
+from .common import blank, tidy
 
 #: Rows of each hashed table, size of an embedding, filters of each width, widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
@@ -311,6 +311,8 @@ def _logit_counts(labelled: DataFrame, models: list[Model]) -> list[tuple[str, i
             judged = [scorers[k].judged(t.as_py()) for t, k in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             bins = [round(min(max(logit, -FAR), FAR) * BINS) for logit, _ in judged]
             yield pa.RecordBatch.from_arrays([pa.array([lang for _, lang in judged], pa.string()), batch.column(1), pa.array(bins, pa.int32())], ["__lang", "__y", "__bin"])
+        scorers.clear()
+        tidy()
 
     binned = labelled.select("__text", "__y", "__fold").mapInArrow(run, "__lang string, __y int, __bin int")
     return [tuple(r) for r in binned.groupBy("__lang", "__y", "__bin").count().collect()]
@@ -346,5 +348,7 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
         scorer = Scorer(shared.value) if shared.value else lambda _: 0.0
         for texts in batches:
             yield texts.map(lambda t: t is None or scorer(t) < CUT).astype(bool)
+        del scorer
+        tidy()
 
     return docs.filter(F.pandas_udf(clean, "boolean")(text_col))

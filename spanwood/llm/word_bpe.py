@@ -11,8 +11,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Chunks that the memo holds before it starts anew (about 50 MB).
-MEMO = 60_000
+#: Chunks that the memo holds before it starts anew (about 25 MB).
+MEMO = 30_000
 #: Characters up to here are composed already and lower-cased one by one alike everywhere; other chunks go to the library.
 PLAIN = 0x24F
 #: White space for Python, but not for the tokenizer.
