@@ -38,6 +38,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that a task should sort or group at once.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over more tasks than the session's shuffles have, where these would take over TASK_ROWS of `rows` rows each."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) of edges(src, dst) and their reverses, without loops."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.steps import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,7 +60,8 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 def commits(spark: SparkSession, d: str) -> DataFrame:
     """Orders as commits of suppliers as files: sha, file, epoch."""
     o = table(spark, d, "orders").selectExpr("o_orderkey AS sha", "unix_timestamp(cast(o_orderdate AS timestamp)) AS epoch")
-    return table(spark, d, "lineitem").selectExpr("l_orderkey AS sha", "l_suppkey AS file").join(o, "sha").select("sha", "file", "epoch").distinct()
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey AS sha", "l_suppkey AS file")
+    return dealt(lines, lines.count(), "sha").join(o, "sha").select("sha", "file", "epoch").distinct()
 
 
 def manifest(spark: SparkSession, d: str, new: bool) -> DataFrame:
@@ -76,7 +79,8 @@ KINDS = ("if_statement", "for_statement", "switch_statement", "return_statement"
 def ast(spark: SparkSession, d: str) -> DataFrame:
     """Rows of syntax trees, from lines of orders as functions: fn, pos, id, kind, name, text, line."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").withColumn("pos", F.row_number().over(w) - 1)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = dealt(lines, lines.count(), "l_orderkey").withColumn("pos", F.row_number().over(w) - 1)
     kind = F.array(*map(F.lit, KINDS))[(F.col("l_partkey") % len(KINDS)).cast("int")]
     rows = rows.select(F.col("l_orderkey").alias("fn"), "pos", (F.col("l_orderkey") * 100 + F.col("pos")).alias("id"), kind.alias("kind"), F.expr("concat('v', l_partkey % 7)").alias("name"), "l_suppkey", F.col("l_linenumber").alias("line"))
     text = F.expr("""CASE kind WHEN 'call_expression' THEN concat(name, '(v1, g(v2, v3), [v4, v5])') WHEN 'assignment' THEN concat(name, ' = v', l_suppkey % 7, ' + 1')

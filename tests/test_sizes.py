@@ -39,3 +39,39 @@ def test_calls_on_lines_of_definitions(spark):
         if around and target:
             want.add((ids[f, max(around, key=lambda d: d[1])[3]], target))
     assert calls == sorted(want)
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """Rows of commits and syntax trees are dealt over more tasks than the session's, where there are many."""
+    from spanwood import views as V
+    from spanwood.operators import steps
+
+    monkeypatch.setattr(steps, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    want = -(-V.table(spark, sf, "lineitem").count() // 500)
+    assert want > 4
+    assert V.commits(spark, sf).rdd.getNumPartitions() == V.ast(spark, sf).rdd.getNumPartitions() == want
+
+
+def test_parsed_files_leave_in_pieces(monkeypatch):
+    """A batch of files does not wait for its last one."""
+    import pyarrow as pa
+
+    from spanwood.sources import extract as E
+
+    monkeypatch.setattr(E, "PIECE", 100)
+    text = "def f():\n    return g()\n" * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{k}.py" for k in range(9)]), pa.array(["python"] * 9), pa.array([text] * 8 + [None])], ["path", "language", "text"])
+    made = list(E._parsed(iter([batch])))
+    assert len(made) == 5 and sum(b.num_rows for b in made) == 9
+
+
+def test_hashed_embedding_hashes_words_once(spark):
+    """Long texts: each of the 16 counts used to hash and split all words again."""
+    from spanwood.operators import search as R
+
+    df = spark.range(1).select(F.lit("").alias("none"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda k: F.concat(F.lit("w"), k)), " ").alias("text"))
+    t = time.time()
+    row = df.select(R.hashed_embedding(F.col("text")).alias("v"), R.hashed_embedding(F.col("none")).alias("z")).first()
+    assert abs(sum(row["v"]) - 1) < 1e-9 and row["z"] == [0.0] * 16
+    assert time.time() - t < 30
