@@ -93,5 +93,7 @@ def within_budget(hits: DataFrame, budget: int) -> DataFrame:
 def hashed_embedding(text: Column) -> Column:
     """A deterministic vector of 16 numbers: the text's words counted by the first hex digit of their MD5, over their number."""
     ws = X.words(F.coalesce(text, F.lit("")))
-    digits = F.transform(ws, lambda w: F.substring(F.md5(w), 1, 1))
-    return F.transform(F.array(*[F.lit(c) for c in "0123456789abcdef"]), lambda c: F.size(F.filter(digits, lambda x: x == c)) / F.greatest(F.size(ws), F.lit(1)))
+    # as one string under a name, lest each of the 16 counts hashes all words again
+    digits = F.array(F.array_join(F.transform(ws, lambda w: F.substring(F.md5(w), 1, 1)), ""))
+    counted = lambda s: F.transform(F.array(*[F.lit(c) for c in "0123456789abcdef"]), lambda c: (F.length(s) - F.length(F.replace(s, c))) / F.greatest(F.length(s), F.lit(1)))
+    return F.transform(digits, counted)[0]

@@ -212,8 +212,8 @@ def se13_sections_passed_on(spark: Spark, d: str) -> DataFrame:
 
 @query(f"SELECT id, array_to_string(list_transform(string_split('0123456789abcdef', ''), lambda c: CAST(len(list_filter(w, lambda x: md5(x)[1] = c)) AS VARCHAR)), ',') AS counts FROM ({_TEXTS})")
 def se15_hashed_embedding(spark: Spark, d: str) -> DataFrame:
-    w = X.words(F.coalesce("text", F.lit("")))
-    counts = F.transform(R.hashed_embedding(F.col("text")), lambda x: F.round(x * F.greatest(F.size(w), F.lit(1))).cast("int").cast("string"))
+    n = F.array(F.greatest(F.size(X.words(F.coalesce("text", F.lit("")))), F.lit(1)))
+    counts = F.transform(n, lambda n: F.transform(R.hashed_embedding(F.col("text")), lambda x: F.round(x * n).cast("int").cast("string")))[0]
     return _docs(spark, d).select("id", F.array_join(counts, ",").alias("counts"))
 
 
