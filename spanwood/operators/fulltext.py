@@ -10,8 +10,11 @@ Rows are dealt and sorted by term, so that a filter on terms reads few pages and
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ Tokens = Callable[[str], list[str]]
 RANGE, FIRST = 1024, 16
 #: Rows (term, range) that a written file should hold.
 FILE_ROWS = 500_000
-#: Rows that a task hands on at once while it reads texts.
-PIECE = 100_000
+#: Documents that a task should read, and lists that it hands on at once.
+TASK_DOCS, PIECE = 20_000, 5_000
 
 
 class Index:
@@ -71,41 +74,63 @@ class Index:
         version = known[-1] + 1 if known else 0
         at = f"{self.path}/v{version:06}"
         rows = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).filter("id is not null")
-        once = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
-        rows = rows.withColumn("turn", once).filter("turn = 1")
-        posted = rows.select("id", "text").mapInArrow(_posted(self.tokens), "id long, len int, term string, at array<int>")
-        posted = cut(posted)
-        lens = posted.filter("term is null").select("id", "len")
+        # a range's documents meet in one task, one range after another; so its lists are whole when they leave it
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_DOCS))
+        rows = rows.withColumn("range", F.floor(F.col("id") / RANGE).cast("long")).repartition(tasks, "range")
+        once = F.row_number().over(Window.partitionBy("range", "id").orderBy(F.xxhash64("text")))
+        rows = rows.withColumn("turn", once).filter("turn = 1").sortWithinPartitions("range", "id")
+        lists = cut(rows.select("range", "id", "text").mapInArrow(_listed(self.tokens), POSTINGS))
+        lens = lists.filter("term is null").select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("lens").alias("len"))).alias("id", "len"))
         lens.write.mode("overwrite").parquet(f"{at}/docs")
-        self._write(_lists(posted.filter("term is not null")), f"{at}/postings")
+        self._write(lists.filter("term is not null"), f"{at}/postings")
         ids = lens.select("id")
         if removed is not None:
             ids = ids.unionByName(removed.select(F.col("id").cast("long").alias("id")).filter("id is not null")).distinct()
         ids.write.mode("overwrite").parquet(f"{at}/gone")
-        discard(posted)
+        discard(lists)
         return version
 
     def _write(self, lists: DataFrame, path: str) -> None:
-        lists = cut(lists)
+        """Write lists that were cut, as they are counted, ranged and written in a pass each."""
         files = max(1, -(-lists.count() // FILE_ROWS))
         # a range of terms for each file; a term of many ranges may fill several
         lists.repartitionByRange(files, "term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(path)
-        discard(lists)
 
     def compact(self, path: str) -> Index:
-        """The same index as one version in another folder, from the lists alone."""
+        """The same index as one version in another folder, from the lists alone: whole lists meet, and no entry is a row."""
         out = Index(self.spark, path, self.tokens)
         at = f"{out.path}/v000000"
         self._docs().select("id", "len").write.mode("overwrite").parquet(f"{at}/docs")
-        out._write(_lists(self._entries(self._postings()).select("id", "len", "term", "at")), f"{at}/postings")
+        lists = self._postings().withColumn("l", F.arrays_zip(F.col("ids").alias("id"), F.col("lens").alias("len"), F.col("ats").alias("at"))).select("version", "term", "range", "l")
+        if len(self.versions()) > 1:
+            # a version's documents of a range that are no more, as a flag for each place
+            gone = self._gone()
+            docs = self._read("docs", "id long, len int")
+            dead = docs.join(gone, "id").filter("version < until").withColumn("range", F.floor(F.col("id") / RANGE).cast("long"))
+            dead = dead.groupBy("version", "range").agg(F.collect_set((F.col("id") - F.col("range") * RANGE).cast("int")).alias("places"))
+            dead = dead.select("version", "range", F.transform(F.sequence(F.lit(0), F.lit(RANGE - 1)), lambda i: F.array_contains("places", i)).alias("dead"))
+            lists = lists.join(dead, ["version", "range"], "left")
+            live = F.filter("l", lambda e: ~F.get(F.col("dead"), (e["id"] - F.col("range") * RANGE).cast("int")))
+            lists = lists.select("term", "range", F.when(F.col("dead").isNull(), F.col("l")).otherwise(live).alias("l")).filter(F.size("l") > 0)
+            lists = lists.groupBy("term", "range").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
+        lists = cut(lists.select(
+            "term", "range", F.size("l").cast("long").alias("n"), F.array_max(F.transform("l", lambda e: F.size(e["at"]))).alias("most"), F.array_min("l.len").alias("shortest"),
+            F.col("l.id").alias("ids"), F.col("l.len").alias("lens"), F.col("l.at").alias("ats"),
+        ))
+        out._write(lists, f"{at}/postings")
+        discard(lists)
         self.spark.createDataFrame([], "id long").write.mode("overwrite").parquet(f"{at}/gone")
         return out
 
     # reading
 
+    def _gone(self) -> DataFrame:
+        """(id, until): the last version that replaced or removed each id."""
+        return self._read("gone", "id long").filter("version > 0").groupBy("id").agg(F.max("version").alias("until"))
+
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows (version, id, ...) whose id no later version replaced or removed."""
-        gone = self._read("gone", "id long").filter("version > 0").groupBy("id").agg(F.max("version").alias("until"))
+        gone = self._gone()
         return rows.join(gone, (rows["id"] == gone["id"]) & (rows["version"] < gone["until"]), "left_anti") if len(self.versions()) > 1 else rows
 
     def _docs(self) -> DataFrame:
@@ -188,28 +213,47 @@ class Index:
 POSTINGS = "term string, range long, n long, most int, shortest int, ids array<long>, lens array<int>, ats array<array<int>>"
 
 
-def _posted(tokens: Tokens):
-    """A row for each document's term with its places, and one of term null with the document's length."""
+def _listed(tokens: Tokens):
+    """Posting lists of rows (range, id, text) that come by range and id; and one of term null with all of a range's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[str | None, tuple[array, array, array, array]] = {}
+        now = None
         for batch in batches:
-            ids, lens, terms, places = [], [], [], []
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                held: dict[str | None, list[int] | None] = {None: None}
-                words = tokens(text.as_py())
+            for place, doc, text in zip(*batch.columns, strict=True):
+                place, doc = place.as_py(), doc.as_py()
+                if place != now:
+                    yield from _made(lists, now)
+                    lists, now = {}, place
+                words, held = tokens(text.as_py()), {None: ()}
                 for at, word in enumerate(words):
                     held.setdefault(word, []).append(at)
-                ids += [doc] * len(held)
-                lens += [len(words)] * len(held)
-                terms += held
-                places += held.values()
-                if len(ids) >= PIECE or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens, pa.int32()), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["id", "len", "term", "at"])
-                    ids, lens, terms, places = [], [], [], []
+                for word, places in held.items():
+                    entry = lists.get(word) or lists.setdefault(word, (array("q"), array("i"), array("i"), array("i")))
+                    entry[0].append(doc)
+                    entry[1].append(len(words))
+                    entry[2].append(len(places))
+                    entry[3].extend(places)
+        yield from _made(lists, now)
 
     return run
 
 
+def _made(lists: dict, place: int | None) -> Iterator[pa.RecordBatch]:
+    """POSTINGS of a range's lists: term to ids, lengths and counts of its documents, and all places one after another."""
+    items = iter(lists.items())
+    while part := list(islice(items, PIECE)):
+        ids, lens, tfs, places = (np.concatenate([np.frombuffer(v[k], v[k].typecode) if v[k] else np.empty(0, v[k].typecode) for _, v in part]) for k in range(4))
+        ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        of = ends([len(v[0]) for _, v in part])
+        ats = pa.ListArray.from_arrays(ends(tfs), pa.array(places, pa.int32()))
+        cols = [
+            pa.array([t for t, _ in part], pa.string()), pa.array([place] * len(part), pa.int64()), pa.array([len(v[0]) for _, v in part], pa.int64()), pa.array([max(v[2]) for _, v in part], pa.int32()), pa.array([min(v[1]) for _, v in part], pa.int32()),
+            *(pa.ListArray.from_arrays(of, x) for x in (pa.array(ids, pa.int64()), pa.array(lens, pa.int32()), ats)),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in POSTINGS.split(", ")])
+
+
 def tokenised(tokens: Tokens):
     """(id, n_tokens, stems) of rows (id, text): the text's tokens, joined by a space."""
 
@@ -219,12 +263,3 @@ def tokenised(tokens: Tokens):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([" ".join(f) for f in found], pa.string())], ["id", "n_tokens", "stems"])
 
     return run
-
-
-def _lists(entries: DataFrame) -> DataFrame:
-    """Posting lists of entries(id, len, term, at); a group holds RANGE documents at most."""
-    each = entries.groupBy("term", F.floor(F.col("id") / RANGE).cast("long").alias("range")).agg(F.array_sort(F.collect_list(F.struct("id", "len", "at"))).alias("l"))
-    return each.select(
-        "term", "range", F.size("l").cast("long").alias("n"), F.array_max(F.transform("l", lambda e: F.size(e["at"]))).alias("most"), F.array_min("l.len").alias("shortest"),
-        F.col("l.id").alias("ids"), F.col("l.len").alias("lens"), F.col("l.at").alias("ats"),
-    )
