@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,14 +198,15 @@ def first_backups(changes: DataFrame, by: list[str], order: list[str]) -> DataFr
     return changes.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__k = 1").drop("__k")
 
 
-def _diffs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for old, new in batches:
-        yield pd.DataFrame([diff.line_diff(a or "", b or "") for a, b in zip(old, new, strict=True)], columns=["equal", "insert", "delete", "hunks"])
+def _diffs(old: pa.Array, new: pa.Array) -> pa.Array:
+    # one pair of texts at a time leaves Arrow's memory
+    rows = [diff.line_diff(a.as_py() or "", b.as_py() or "") for a, b in zip(old, new, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(),) * 3 + (pa.string(),))], ["equal", "insert", "delete", "hunks"])
 
 
 def line_diff(old: Column, new: Column) -> Column:
     """struct (equal, insert, delete: lines; hunks: their lines after - and +) of two texts, by a shortest edit script; null is empty."""
-    return F.pandas_udf(_diffs, "equal long, insert long, delete long, hunks string")(old, new)
+    return F.arrow_udf(_diffs, "equal long, insert long, delete long, hunks string")(old, new)
 
 
 # words for people
