@@ -75,3 +75,25 @@ def test_hashed_embedding_hashes_words_once(spark):
     row = df.select(R.hashed_embedding(F.col("text")).alias("v"), R.hashed_embedding(F.col("none")).alias("z")).first()
     assert abs(sum(row["v"]) - 1) < 1e-9 and row["z"] == [0.0] * 16
     assert time.time() - t < 30
+
+
+def test_rounds_of_components_and_communities_broadcast_nothing(spark, monkeypatch):
+    """Tables of a round stay off the driver, however small Spark takes them to be."""
+    from spanwood.operators import steps
+    from spanwood.operators import structure as S
+
+    plans, cut = [], steps.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for module in (steps, S):
+        monkeypatch.setattr(module, "cut", seen)
+    nodes = spark.range(8)
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 6)], "source_id long, target_id long")
+    assert {r["component"]: r["size"] for r in S.cycles(nodes, edges).collect()} == {0: 3, 3: 2}
+    assert len({r["community"] for r in S.louvain(nodes, edges, levels=1, rounds=2).collect()}) < 8
+    # plans that read no earlier round join the caller's own tables
+    rounds = [p for p in plans if "/rounds/" in p]
+    assert len(rounds) > 10 and not [p for p in rounds if "Broadcast" in p]
