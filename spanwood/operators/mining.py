@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import dealt
+
 
 def _small(commits: DataFrame, max_files: int) -> DataFrame:
     """Commits of at most max_files files, so that a commit gives a bounded number of pairs."""
@@ -16,7 +18,7 @@ def cochange(commits: DataFrame, max_files: int = 50, least: int = 3) -> DataFra
     """(file_a, file_b, n, jaccard, last_epoch) of files that changed together in `least` commits or more."""
     some = _small(commits, max_files)
     a, b = some.select("sha", F.col("file").alias("file_a"), "epoch"), some.select("sha", F.col("file").alias("file_b"))
-    pairs = a.join(b, "sha").filter("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last_epoch")).filter(F.col("n") >= least)
+    pairs = dealt(a.join(b, "sha").filter("file_a < file_b"), commits.count(), "file_a", "file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last_epoch")).filter(F.col("n") >= least)
     each = some.groupBy("file").agg(F.count(F.lit(1)).alias("c"))
     out = pairs.join(each.select(F.col("file").alias("file_a"), F.col("c").alias("ca")), "file_a").join(each.select(F.col("file").alias("file_b"), F.col("c").alias("cb")), "file_b")
     return out.select("file_a", "file_b", "n", F.round(F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")), 8).alias("jaccard"), "last_epoch")

@@ -50,6 +50,10 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     want = -(-V.table(spark, sf, "lineitem").count() // 500)
     assert want > 4
+    from spanwood.operators import mining
+
+    pairs = mining.cochange(V.commits(spark, sf), least=1)._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(file_a" in line and "REPARTITION_BY_NUM" in line for line in pairs.split("\n"))
     assert V.commits(spark, sf).rdd.getNumPartitions() == V.ast(spark, sf).rdd.getNumPartitions() == want
 
 
