@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lots as L
 from .steps import arrows, cut, discard
 
 
@@ -156,19 +157,36 @@ def cycle_paths(edges: DataFrame, max_length: int = 5, most: int = 100) -> DataF
 def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(distance, pairs): how many ordered pairs of nodes are at each finite distance above 0.
 
+    Weak components that a task can take whole are walked there from a block of sources at a time; larger ones by rounds.
+    """
+    known = nodes.select(F.col("id").alias("src"), F.lit(True).alias("known")).distinct()
+    ways = cut(arrows(edges).filter("src <> dst").join(known, "src", "left").select("src", "dst", F.lit(1.0).alias("w"), F.coalesce("known", F.lit(False)).alias("known")))
+    packed, rest = L.lots(ways)
+    counts = L.each_block(packed, ["src", "dst"], L.pairs_by_distance, "distance int, pairs long")
+    if rest is not None:
+        counts = counts.unionByName(_counts_by_rounds(rest.filter("known").select(F.col("src").alias("node")).distinct(), rest.select("src", "dst")))
+    out = cut(counts.groupBy("distance").agg(F.sum("pairs").alias("pairs")))
+    for done in (packed, ways, rest):
+        if done is not None:
+            discard(done)
+    return out
+
+
+def _counts_by_rounds(sources: DataFrame, ways: DataFrame) -> DataFrame:
+    """path_counts from sources(node) over ways(src, dst).
+
     Each node carries bitmaps of the nodes that reach it, one for each block of 32 768 source ids that has any; a round
     is one join with the edges and one union of bitmaps, so pairs are bits and no row is made for a pair.
     """
-    ways = cut(arrows(edges).filter("src <> dst"))
-    state = cut(nodes.select(F.col("id").alias("node")).distinct().groupBy("node", F.bitmap_bucket_number("node").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node")).alias("from")))
-    counts, known, distance = [], state.count(), 0
+    state = cut(sources.groupBy("node", F.bitmap_bucket_number("node").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node")).alias("from")))
+    counts, known, distance = [], state.agg(F.coalesce(F.sum(F.bitmap_count("from")), F.lit(0))).first()[0], 0
     while True:
         onward = state.join(ways, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "block", "from")
         before, state = state, cut(state.unionByName(onward).groupBy("node", "block").agg(F.bitmap_or_agg("from").alias("from")))
         discard(before)
         now = state.agg(F.coalesce(F.sum(F.bitmap_count("from")), F.lit(0))).first()[0]
         if now == known:
-            return nodes.sparkSession.createDataFrame(counts, "distance int, pairs long")  # one row for each distance
+            return ways.sparkSession.createDataFrame(counts, "distance int, pairs long")  # one row for each distance
         distance += 1
         counts.append((distance, now - known))
         known = now

@@ -101,3 +101,42 @@ def test_rounds_of_components_and_communities_broadcast_nothing(spark, monkeypat
     # plans that read no earlier round join the caller's own tables
     rounds = [p for p in plans if "/rounds/" in p]
     assert len(rounds) > 10 and not [p for p in rounds if "Broadcast" in p]
+
+
+def _chains(spark, chains, length):
+    """Disjoint chains of nodes, and a node of its own."""
+    nodes = spark.range(chains * length + 1)
+    return nodes, spark.range(chains * length).filter(f"id % {length} < {length - 1}").selectExpr("id AS source_id", "id + 1 AS target_id", "'calls' AS kind")
+
+
+def test_all_pairs_take_no_round_of_jobs_for_each_level(spark):
+    """Distances and betweenness took jobs for every level; components are walked in tasks."""
+    from spanwood.operators import traverse as T
+    from spanwood.operators.betweenness import betweenness
+
+    nodes, edges = _chains(spark, 3, 300)
+    t = time.time()
+    assert dict(map(tuple, T.path_counts(nodes, edges).collect())) == {k: 3 * (300 - k) for k in range(1, 300)}
+    got = {r["id"]: r["betweenness"] for r in betweenness(nodes, edges).collect()}
+    assert all(abs(got[i] * 900 * 899 - (i % 300) * (299 - i % 300)) < 1e-6 for i in range(900)) and got[900] == 0
+    assert time.time() - t < 100
+
+
+def test_lots_and_rounds_agree(spark, monkeypatch):
+    """The same pairs and ranks whether components share lots, have one each or go by rounds; blocks of few sources."""
+    import random
+
+    from spanwood.operators import lots as L
+    from spanwood.operators import traverse as T
+    from spanwood.operators.betweenness import betweenness
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(100 + rng.randrange(9), 100 + rng.randrange(9)) for _ in range(14)] + [(200, 201), (201, 200), (300, 5), (301, 301)]
+    edges = spark.createDataFrame([(a, b, "c") for a, b in pairs], "source_id long, target_id long, kind string")
+    nodes = spark.createDataFrame([(i,) for i in [*range(30), *range(100, 109), 200, 201, 301]], "id long")
+    found = []
+    for large, small, block in ((1_000_000, 20_000, 1024), (1_000_000, 5, 3), (20, 5, 3)):
+        for name, value in (("LOT_EDGES", large), ("SMALL", small), ("BLOCK", block)):
+            monkeypatch.setattr(L, name, value)
+        found.append((sorted(map(tuple, T.path_counts(nodes, edges).collect())), sorted((r["id"], round(r["betweenness"], 12)) for r in betweenness(nodes, edges).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 3
