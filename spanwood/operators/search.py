@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .steps import cut
 
 
 def keyword(nodes: DataFrame, query: str, limit: int) -> DataFrame:
@@ -26,23 +27,34 @@ def symbols(nodes: DataFrame, query: str, limit: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: str, limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of docs(id, text) that hold all words of the query, by Okapi BM25 with the IDF floored at 1e-6.
+    """(id, score) of docs(id, text) that hold all words of the query, by Okapi BM25 with the IDF floored at 1e-6."""
+    return bm25_of_each(docs, [query], limit, k1, b)[0]
 
-    Term counts are columns, so two passes over the texts and one row of statistics do, without a shuffle of words.
+
+def bm25_of_each(docs: DataFrame, queries: list[str], limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> list[DataFrame]:
+    """bm25 of each query, after one pass over the texts for all of them.
+
+    Term counts are columns, so nothing is shuffled; numbers of a document are written once to the shared folder, and one
+    row of statistics comes from there.
     """
-    terms = sorted({w for w in _split(query)})
-    counted = docs.select("id", X.words(F.coalesce("text", F.lit(""))).alias("w"))
-    counted = counted.select("id", F.size("w").alias("len"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    asked = [sorted(set(_split(q))) for q in queries]
+    terms = sorted({t for some in asked for t in some})
     if not terms:
-        return counted.select("id", F.lit(0.0).alias("score")).limit(0)
+        return [docs.select("id", F.lit(0.0).alias("score")).limit(0) for _ in queries]
+    counted = docs.select("id", X.words(F.coalesce("text", F.lit(""))).alias("w"))
+    counted = cut(counted.select("id", F.size("w").alias("len"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.lit(float(stats["n"])) - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (stats["avg"] or 1.0)))
-    hits = counted.filter(reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).select("id", F.round(score, 8).alias("score"))
-    return hits.orderBy(F.desc("score"), "id").limit(limit) if limit else hits
+    out = []
+    for some in asked:
+        score, places = F.lit(0.0), [terms.index(t) for t in some]
+        for i in places:
+            idf = F.greatest(F.log((F.lit(float(stats["n"])) - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), F.lit(1e-6))
+            tf = F.col(f"tf{i}")
+            score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (stats["avg"] or 1.0)))
+        holds = reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in places], F.lit(bool(places)))
+        hits = counted.filter(holds).select("id", F.round(score, 8).alias("score"))
+        out.append(hits.orderBy(F.desc("score"), "id").limit(limit) if limit else hits)
+    return out
 
 
 def _count(term: str) -> Column:

@@ -164,8 +164,8 @@ _Q1, _Q2 = _bm25(["and", "with"]) + " ORDER BY score DESC, id LIMIT 50", _bm25([
 
 @query(_fused({"q1": _BM, "q2": _Q1, "q3": _Q2}, 60))
 def se10_multi_query(spark: Spark, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return R.fuse({"q1": R.bm25(docs, "was the", 50), "q2": R.bm25(docs, "and with", 50), "q3": R.bm25(docs, "for this", 50)}, limit=30)
+    lists = R.bm25_of_each(_docs(spark, d), ["was the", "and with", "for this"], 50)
+    return R.fuse({f"q{k}": hits for k, hits in enumerate(lists, 1)}, limit=30)
 
 
 @query(_fused({"bm25": _BM, "keyword": _LIKE, "semantic": _KNN}, 60))

@@ -140,3 +140,23 @@ def test_lots_and_rounds_agree(spark, monkeypatch):
             monkeypatch.setattr(L, name, value)
         found.append((sorted(map(tuple, T.path_counts(nodes, edges).collect())), sorted((r["id"], round(r["betweenness"], 12)) for r in betweenness(nodes, edges).collect())))
     assert found[0] == found[1] == found[2] and len(found[0][0]) > 3
+
+
+def test_queries_share_one_pass_over_texts(spark):
+    """Each query used to split all texts twice."""
+    from spanwood.operators import search as R
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(1, "the cat was the first"), (2, "was and with"), (3, None), (4, "The with and, and was")], "id long, text string").mapInArrow(read, "id long, text string")
+    queries = ["was the", "and with", "", "The was"]
+    together = [list(map(tuple, hits.collect())) for hits in R.bm25_of_each(docs, queries, 2)]
+    assert passes.value == 4
+    assert together[2] == [] and together[0] == together[3] and {i for i, _ in together[0]} == {1, 4} and {i for i, _ in together[1]} == {2, 4}
+    assert together == [list(map(tuple, R.bm25(docs, q, 2).collect())) for q in queries]
+    assert passes.value == 4 + 3 * 4
