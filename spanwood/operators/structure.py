@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import pagerank as pagerank
 from .steps import both_ways, cut, discard, simple, wide
 
 
@@ -120,30 +121,6 @@ def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.agg((F.coalesce(F.max("n"), F.lit(1)) == 1).alias("is_dag"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50) -> DataFrame:
-    """(id, rank): equal start, mass of nodes without a way out spread evenly, parallel edges counted; ranks add up to 1.
-
-    A round is one job, which writes its ranks and sums up the mass without a way out on the way.
-    """
-    ids = cut(_ids(nodes))
-    n = max(ids.count(), 1)
-    ends = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    ends = ends.join(ids.select(F.col("node").alias("src")), "src", "left_semi").join(ids.select(F.col("node").alias("dst")), "dst", "left_semi")
-    outs = ends.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
-    ways = cut(ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(outs, "src").select("src", "dst", (F.col("w") / F.col("outs")).alias("share")))
-    ranks = cut(ids.join(outs.select(F.col("src").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"), F.lit(1.0 / n).alias("rank")))
-    loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0))).first()[0]
-    for _ in range(rounds):
-        before, seen = ranks, Observation()
-        came = ways.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        new = (1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + loose / n)
-        ranks = ranks.select("node", "loose").join(came, "node", "left").select("node", "loose", new.alias("rank"))
-        ranks = cut(ranks.observe(seen, F.sum(F.when(F.col("loose"), F.col("rank"))).alias("loose")))
-        loose = seen.get["loose"] or 0.0
-        discard(before)
-    return ranks.select(F.col("node").alias("id"), "rank")
-
-
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, centrality): edges in and out, parallel ones too, over n - 1."""
     ids = _ids(nodes)

@@ -160,3 +160,35 @@ def test_queries_share_one_pass_over_texts(spark):
     assert together[2] == [] and together[0] == together[3] and {i for i, _ in together[0]} == {1, 4} and {i for i, _ in together[1]} == {2, 4}
     assert together == [list(map(tuple, R.bm25(docs, q, 2).collect())) for q in queries]
     assert passes.value == 4 + 3 * 4
+
+
+def test_ranks_move_in_blocks(spark, monkeypatch):
+    """A round used to shuffle all ways; now it hands on a number for each node and block that it leads to."""
+    import random
+
+    from spanwood.operators import ranks as K
+
+    monkeypatch.setattr(K, "NODES", 7)
+    rows, cut = [], K.cut
+
+    def seen(df):
+        out = cut(df)
+        if out.columns == ["to", "at", "values"]:
+            rows.append(out.filter("to >= 0 and values is not null").selectExpr("coalesce(sum(size(values)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(K, "cut", seen)
+    rng, n = random.Random(3), 30
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(40)] + [(3, 4)] * 500 + [(5, 77), (78, 5)]
+    nodes, edges = spark.createDataFrame([(i * 1000 - 5000,) for i in range(n)] + [(None,)], "id long"), spark.createDataFrame([(a * 1000 - 5000, b * 1000 - 5000) for a, b in pairs], "source_id long, target_id long")
+    got = {r["id"]: r["rank"] for r in K.pagerank(nodes, edges, rounds=8).collect()}
+    want, ways = [1 / n] * n, [(a, b) for a, b in pairs if a < n and b < n]
+    outs = [sum(a == i for a, _ in ways) for i in range(n)]
+    for _ in range(8):
+        loose = sum(r for r, o in zip(want, outs) if not o)
+        new = [0.15 / n + 0.85 * loose / n] * n
+        for a, b in ways:
+            new[b] += 0.85 * want[a] / outs[a]
+        want = new
+    assert len(got) == n and all(abs(got[i * 1000 - 5000] - want[i]) < 1e-12 for i in range(n))
+    assert max(rows) <= 41
