@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..operators.steps import fresh_dir
+from ..operators.steps import cut, fresh_dir
 from ..streaming.graph_state import GraphState, present
 from .registry import query
 
@@ -27,7 +27,8 @@ def start(spark: Spark, d: str) -> DataFrame:
 
 def parser(spark: Spark, d: str):
     """A file's symbols and references as of its last event: the event renames a third of the symbols."""
-    nodes, edges = V.nodes(spark, d), V.edges(spark, d)
+    # every batch is parsed from these, so they are made of orders and lines once
+    nodes, edges = V.nodes(spark, d), cut(V.edges(spark, d))
 
     def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = nodes.join(files.select("file", F.col("tie").alias("g")), "file")

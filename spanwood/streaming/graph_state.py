@@ -162,8 +162,11 @@ class GraphState:
         now = self.spark.read.schema(EDGES).parquet(f"{self.path}/v{version:06}/edges")
         was = self.edges(until=version - 1).join(wrote, "file", "left_semi")
         cols = ["source_id", "target_id", "kind"]
-        gone, new = was.select(*cols).exceptAll(now.select(*cols)), now.select(*cols).exceptAll(was.select(*cols))
-        return gone.withColumn("change", F.lit("removed")).unionByName(new.withColumn("change", F.lit("added"))).select("change", *cols)
+        # what there was and is meets once; an edge comes as often as its numbers differ
+        signed = was.select(*cols, F.lit(-1).alias("n")).unionByName(now.select(*cols, F.lit(1).alias("n")))
+        moved = signed.groupBy(*cols).agg(F.sum("n").cast("int").alias("n")).filter("n <> 0")
+        change = F.when(F.col("n") > 0, "added").otherwise("removed")
+        return moved.select(F.explode(F.array_repeat(change, F.abs("n"))).alias("change"), *cols)
 
     def watch(self, stream: DataFrame, checkpoint: str, pushed: Callable[[int, DataFrame], None] | None = None) -> None:
         """Apply all that a stream of changes(file, ts, tie, present) has, batch by batch, and push each version's delta."""
