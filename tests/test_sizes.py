@@ -192,3 +192,45 @@ def test_ranks_move_in_blocks(spark, monkeypatch):
         want = new
     assert len(got) == n and all(abs(got[i * 1000 - 5000] - want[i]) < 1e-12 for i in range(n))
     assert max(rows) <= 41
+
+
+def test_a_lot_goes_once_to_each_part(spark, monkeypatch):
+    """A component's arrays used to go out once for each block of its sources; and bitmaps of any width give the same pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from spanwood.operators import lots as L
+    from spanwood.operators import traverse as T
+
+    nodes, edges = _chains(spark, 2, 200)
+    monkeypatch.setattr(L, "BLOCK", 8)
+    packed, _ = L.lots(edges.selectExpr("source_id AS src", "target_id AS dst", "1.0D AS w", "true AS known"))
+    rows = L.each_block(packed, ["dst"], lambda blocks, dst: pa.table([[sum(map(np.size, blocks))]], ["n"]), "n long").collect()
+    assert sum(r["n"] for r in rows) == 2 * 199 and len(rows) <= 2
+    # as many parts as the work asks for, and walks of few sources where a component has many nodes
+    monkeypatch.setattr(L, "LEAST_WORK", 1)
+    monkeypatch.setattr(L, "BLOCK", 100)
+    monkeypatch.setattr(L, "WORDS", 1)
+    assert dict(map(tuple, T.path_counts(nodes, edges).collect())) == {k: 2 * (200 - k) for k in range(1, 200)}
+
+
+def test_sources_of_a_block_lead_to_the_same_hub():
+    """Sources in order of their ids met a node at many distances, which made a row of bits for each."""
+    import numpy as np
+
+    from spanwood.operators import lots as L
+
+    rng = np.random.default_rng(2)
+    n = 4000
+    src, dst = rng.integers(0, n, (2, 5600))
+    order = L._near(src, dst, n)
+    assert sorted(order) == list(range(n))
+    by_src = np.argsort(src, kind="stable")
+    want = np.zeros(n, int)
+    for name, sources in (("ids", np.arange(n)), ("near", order)):
+        blocks = [sources[k : k + 128] for k in range(0, n, 128)]
+        got = dict(zip(*(c.to_pylist() for c in L.pairs_by_distance(blocks, src[by_src], dst[by_src]).columns)))
+        want = want if name == "near" else got
+        assert got == want
+    fronts = lambda sources: sum(sum(1 for _ in L._levels(sources[k : k + 128], L._starts(src, n), dst[by_src])) for k in range(0, n, 128))
+    assert fronts(order) < fronts(np.arange(n))
