@@ -109,3 +109,24 @@ def test_stems():
         word, want = pair.split(":")
         assert S.stem(word) == want, word
     assert S.stems("Les Élèves—RUNNING über_all x1 数据 123") == ["le", "elev", "run", "uber", "all", "x1", "数据", "123"]
+
+
+def _changed(spark, path):
+    index = FT.Index(spark, path, S.plain)
+    index.upsert(spark.range(3000).selectExpr("id - 700 AS id", "concat('old of the ', id % 7, ' of the') text"))
+    index.upsert(spark.range(500).selectExpr("id * 3 AS id", "'the new of' text"), spark.range(-700, -600))
+    return index, {i: f"old of the {(i + 700) % 7} of the" for i in range(-600, 2300)} | {i * 3: "the new of" for i in range(500)}
+
+
+def test_searches_make_no_row_of_a_position(spark, tmp_path, monkeypatch):
+    """Phrases over several versions used to be rows of all positions of their words, shuffled by document."""
+    index, docs = _changed(spark, str(tmp_path / "index"))
+    plans, cut = [], FT.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(FT, "cut", seen)
+    assert same(rows(index.search('"of the" old')), scan(docs, [["of", "the"], ["old"]], S.plain))
+    assert plans and not [p for p in plans if "explode" in p]
