@@ -102,8 +102,9 @@ class Index:
         out = Index(self.spark, path, self.tokens)
         at = f"{out.path}/v000000"
         n = self._read("postings", POSTINGS).filter(DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        rows = self._postings().unionByName(self._gone(), allowMissingColumns=True).repartition(self._tasks(n), "range")
-        self._write(rows.groupBy("range").applyInArrow(_merged(RANGE), POSTINGS), at)
+        rows = self._postings().unionByName(self._gone(), allowMissingColumns=True)
+        packs = rows.mapInArrow(_packed, "range long, pack binary").repartition(self._tasks(n), "range")
+        self._write(packs.groupBy("range").applyInArrow(_merged(RANGE), POSTINGS), at)
         self.spark.createDataFrame([], "id long").write.mode("overwrite").parquet(f"{at}/gone")
         return out
 
@@ -277,10 +278,23 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, pack): a batch's rows of each range as one compressed table, as rows of short lists would be mostly heads."""
+    for batch in batches:
+        table, places, packs = pa.Table.from_batches([batch]), pc.unique(batch.column("range")), []
+        for place in places:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(table.filter(pc.equal(table["range"], place)))
+            packs.append(out.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([places, pa.array(packs, pa.binary())], ["range", "pack"])
+
+
 def _merged(size: int):
-    """POSTINGS of one version from a range's rows of all versions."""
+    """POSTINGS of one version from a range's packed rows of all versions."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(packs: pa.Table) -> pa.Table:
+        table = pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in packs["pack"]])
         home, length, lists = _parts(table, size)
         terms = sorted(set(lists["term"].to_pylist()))
         number = {t: k for k, t in enumerate(terms)}

@@ -130,3 +130,19 @@ def test_searches_make_no_row_of_a_position(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(FT, "cut", seen)
     assert same(rows(index.search('"of the" old')), scan(docs, [["of", "the"], ["old"]], S.plain))
     assert plans and not [p for p in plans if "explode" in p]
+
+
+def test_lists_are_written_once(spark, tmp_path, monkeypatch):
+    """Changes and compaction used to write all lists a first time, to count them; compaction to shuffle them twice, entry by entry."""
+
+    def never(df):
+        raise AssertionError("lists written twice")
+
+    monkeypatch.setattr(FT, "cut", never)
+    index, docs = _changed(spark, str(tmp_path / "index"))
+    small = index.compact(str(tmp_path / "small"))
+    monkeypatch.undo()
+    assert small.versions() == [0] and same(rows(small.search('"of the" 3')), scan(docs, [["of", "the"], ["3"]], S.plain))
+    lists = small._postings().filter("most is not null")
+    assert lists.groupBy("term", "range").count().filter("count > 1").isEmpty()
+    assert lists.filter("term = 'of'").selectExpr("sum(n) n", "max(most) most", "min(shortest) shortest").first() == (2900, 2, 3)
