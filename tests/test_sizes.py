@@ -234,3 +234,42 @@ def test_sources_of_a_block_lead_to_the_same_hub():
         assert got == want
     fronts = lambda sources: sum(sum(1 for _ in L._levels(sources[k : k + 128], L._starts(src, n), dst[by_src])) for k in range(0, n, 128))
     assert fronts(order) < fronts(np.arange(n))
+
+
+def test_dependencies_of_what_a_block_reaches():
+    """Each source used to take arrays of a whole component, and to walk all trees that hang from what it reaches."""
+    import random
+
+    import numpy as np
+
+    from spanwood.operators import lots as L
+
+    rng, n = random.Random(8), 90
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(110)} | {(0, 90), (90, 91), (91, 92), (90, 93)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    src, dst, w = (np.array(v) for v in ([a for a, _ in pairs], [b for _, b in pairs], [1.0 + (a + b) % 2 for a, b in pairs]))
+    want = np.zeros(94)
+    for s in range(94):
+        order, depth, paths, dep = [s], {s: 0}, {s: 1.0}, np.zeros(94)
+        for v in order:
+            for a, b, k in zip(src, dst, w):
+                if a == v:
+                    if b not in depth:
+                        depth[b], paths[b] = depth[v] + 1, 0.0
+                        order.append(b)
+                    if depth[b] == depth[v] + 1:
+                        paths[b] += paths[v] * k
+        for v in reversed(order):
+            for a, b, k in zip(src, dst, w):
+                if a == v and depth[b] == depth[v] + 1:
+                    dep[v] += paths[v] * k / paths[b] * (1 + dep[b])
+        want += np.where(np.arange(94) == s, 0, dep)
+    sources = np.unique(src)
+    found = L.dependencies([sources[:40], sources[40:]], np.arange(94), src, dst, w)
+    got = np.zeros(94)
+    got[found["node"].to_numpy()] = found["dep"].to_numpy()
+    assert np.allclose(got, want, rtol=1e-12)
+    # walks of few steps in a component of many nodes
+    t, many = time.time(), np.arange(4096)
+    found = L.dependencies([many[:2048], many[2048:]], np.arange(1_000_000), np.repeat(many, 2), np.repeat(many, 2) * 100 + 500_000 + np.tile([0, 1], 4096), np.ones(8192))
+    assert found.num_rows == 0 and time.time() - t < 10
